@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import packing, ring_sharding, token_counts
+from . import minhash, packing, pii_crf, quality_knn, ring_sharding, token_counts, toxicity_zstd
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op1_pii_crf": pii_crf.query,
+        "op2_quality_knn": quality_knn.query,
+        "op4_toxicity_zstd": toxicity_zstd.query,
         "op7_ring_sharding": ring_sharding.query,
         "op8_token_counts": token_counts.query,
         "op9_best_fit_packing": packing.query,
+        "op10_minhash_groups": minhash.query,
     }
 
 
