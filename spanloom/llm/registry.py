@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import minhash, packing, pii_crf, quality_knn, ring_sharding, token_counts, toxicity_zstd
+from . import embedding_graph, minhash, packing, pii_crf, quality_knn, ring_sharding, spotsigs, token_counts, toxicity_zstd
 
 
 def queries() -> dict[str, Callable]:
@@ -12,6 +12,8 @@ def queries() -> dict[str, Callable]:
         "op1_pii_crf": pii_crf.query,
         "op2_quality_knn": quality_knn.query,
         "op4_toxicity_zstd": toxicity_zstd.query,
+        "op5_spotsigs": spotsigs.query,
+        "op6_embedding_graph": embedding_graph.query,
         "op7_ring_sharding": ring_sharding.query,
         "op8_token_counts": token_counts.query,
         "op9_best_fit_packing": packing.query,
