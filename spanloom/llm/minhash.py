@@ -6,15 +6,16 @@ candidate if at least MATCHES of the COORDINATES agree, so it must meet in the r
 ``shared postings - MATCHES + 1`` postings of each (prefix merging; postings of one class never count), and the other
 postings are skipped. Candidates are confirmed by the exact Jaccard of their full sets.
 
-Only connectivity is wanted, so postings are merged in three steps, none of which writes all pairs of a group:
-stars around the least class met (one pair a class), stars around the least class of each posting, and last, in
-blocks of bounded size, pairs whose classes are still in different components and whose signatures agree enough.
-With similarity exactly at 0.8 a pair has about 51 matching coordinates of 64, standard deviation 3.2; fewer than
-MATCHES = 38 happen to one such pair in about 20,000.
+Only connectivity is wanted, and no step writes all pairs of a group. First, the classes of each posting are compared
+by signature within tasks of bounded size, and each task writes a spanning forest of its candidate pairs: their
+components are families, and every pair that can link lies in one. Then the full sets of a family meet, once, in a task
+(or in pairs of blocks, for a large family): intersections of all its pairs are one product of incidence matrices, and
+again only a spanning forest of the links goes on. With similarity exactly at 0.8 a pair has about 51 matching
+coordinates of 64, standard deviation 3.2; fewer than MATCHES = 38 happen to one such pair in about 20,000.
 
-Hot postings are never one task: counts are aggregated before the shuffle, stars are linear, and long postings that
-are still mixed are split into pairs of blocks. Full sets are made only for candidates, found in a second scan through
-a bitmap of fixed size (a filter that may let more pass, never fewer).
+Hot postings and hot families are never one task: counts are aggregated before the shuffle, and what is longer than a
+block is split into pairs of blocks. Full sets are made only for members of families, in a second scan through a bitmap
+of fixed size (a filter that may let more pass, never fewer).
 
 Null or blank texts have no set: they link with nothing and stay. Equal rows are one class; the least doc_id of a
 component is its representative. An empty table gives an empty result; further columns are not read.
@@ -25,7 +26,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,7 +34,7 @@ from pyspark.sql.window import Window
 from .common import components, cut, map_batches, mix, table, text_frame, word_hashes
 
 COORDINATES, MATCHES = 64, 38
-#: Classes of a mixed posting that one task compares with as many others.
+#: Classes of a posting or family that are compared with as many others at once.
 BLOCK = 1024
 #: Bits of the candidate bitmap are 64 times this.
 BITMAP_WORDS = 1 << 17
@@ -120,71 +121,143 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return made.join(wanted, ["node", "doc_id"], "left_semi").groupBy("node").agg(F.first("members").alias("members"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough."""
-    a = sets.select(F.col("node").alias("a"), F.col("members").alias("x"))
-    b = sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
-    joined = pairs.join(b, "b").join(a, "a")
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of a graph given as a symmetric boolean matrix."""
+    n, out = len(linked), []
+    new = np.ones(n, dtype=bool)
+    for start in range(n):
+        if not new[start]:
+            continue
+        new[start] = False
+        front = [start]
+        while front:
+            i = front.pop()
+            reached = np.flatnonzero(linked[i] & new)
+            new[reached] = False
+            out += [(i, int(j)) for j in reached]
+            front += reached.tolist()
+    return out
+
+
+def _whole_groups(batches, keys: list[str]):
+    """Tables of whole groups with the bounds of each, from batches sorted by the keys."""
+    held: list[pa.RecordBatch] = []
+
+    def ready(t: pa.Table, last: bool):
+        columns = [np.asarray(t.column(k)) for k in keys]
+        change = np.zeros(t.num_rows, dtype=bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        bounds = np.concatenate(([0], np.flatnonzero(change), [t.num_rows]))
+        return bounds if last else bounds[:-1]
+
+    for batch in batches:
+        held.append(batch)
+        t = pa.Table.from_batches(held)
+        bounds = ready(t, False)
+        if bounds[-1] > 0:
+            yield t.slice(0, bounds[-1]), bounds
+            held = t.slice(bounds[-1]).to_batches()
+    if held and sum(b.num_rows for b in held):
+        t = pa.Table.from_batches(held)
+        yield t, ready(t, True)
+
+
+def _blocks(rows: DataFrame, key: str) -> DataFrame:
+    """Deals the rows of each key into pairs of blocks (i <= j); a key of one block has the pair (0, 0) only."""
+    sizes = rows.groupBy(key).agg(F.count("*").alias("size")).where("size > 1").select(key, F.ceil(F.col("size") / BLOCK).cast("int").alias("n_blocks"))
+    dealt = rows.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "n_blocks")
+    return dealt.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+
+
+def _apart(block: np.ndarray, i: int, j: int) -> np.ndarray | None:
+    """For a pair of different blocks: which pairs of rows are not from one block (those have a task of their own)."""
+    return None if i == j else block[:, None] != block[None]
+
+
+def _edges(pairs: list) -> pa.RecordBatch:
+    a, b = (np.array(x, dtype=np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, dtype=np.int64),) * 2
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def candidate_forest(posts: DataFrame, percent: int) -> DataFrame:
+    """Spanning forests (a, b) of the candidates of each posting. posts (token, node, n, sig8), where sig8 holds a byte
+    of every coordinate: bytes agree at least as often as coordinates, so no candidate is lost."""
+
+    def run(batches):
+        for t, bounds in _whole_groups(batches, ["token", "i", "j"]):
+            node, n = np.asarray(t.column("node")), np.asarray(t.column("n"))
+            block, bi, bj = (np.asarray(t.column(c)) for c in ("block", "i", "j"))
+            sig = np.frombuffer(b"".join(t.column("sig8").to_pylist()), dtype=np.uint8).reshape(-1, COORDINATES)
+            size = np.diff(bounds)
+            two = bounds[:-1][size == 2]
+            x, y = two, two + 1
+            ok = ((sig[x] == sig[y]).sum(1) >= MATCHES) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            found = list(zip(node[x[ok]].tolist(), node[y[ok]].tolist(), strict=True))
+            for k in np.flatnonzero(size > 2):
+                s = slice(bounds[k], bounds[k + 1])
+                own, sizes = sig[s], n[s]
+                agree = np.stack([(own == r).sum(1) for r in own]) >= MATCHES
+                agree &= 100 * np.minimum(sizes[:, None], sizes[None]) >= percent * np.maximum(sizes[:, None], sizes[None])
+                other = _apart(block[s], bi[bounds[k]], bj[bounds[k]])
+                names = node[s].tolist()
+                found += [(names[p], names[q]) for p, q in forest(agree if other is None else agree & other)]
+            yield _edges(found)
+
+    return _blocks(posts, "token").mapInArrow(run, "a long, b long")
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets: products of incidence matrices, a stretch of values at a time."""
+    sizes = np.array([len(s) for s in sets])
+    values = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, place, count = np.unique(values, return_inverse=True, return_counts=True)
+    shared = count[place] > 1  # a value of one set meets no other
+    names = np.cumsum(count > 1) - 1
+    place, owner = names[place[shared]], owner[shared]
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    most = int(place[-1]) + 1 if len(place) else 0
+    for at in range(0, most, 2048):
+        lo, hi = np.searchsorted(place, [at, at + 2048])
+        m = np.zeros((len(sets), min(2048, most - at)), dtype=np.float32)
+        m[owner[lo:hi], place[lo:hi] - at] = 1
+        out += m @ m.T
+    np.fill_diagonal(out, sizes)
+    return out.astype(np.int64)
+
+
+def link_forest(members: DataFrame, percent: int) -> DataFrame:
+    """Spanning forests (a, b) of the links within each family. members (family, node, members)."""
 
     def run(batches):
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                same = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x))
-                ok.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield batch.select(["a", "b"]).filter(np.array(ok, dtype=bool))
-
-    import pyarrow as pa
-
-    def kept(batches):
-        for batch in run(batches):
-            yield pa.RecordBatch.from_arrays(batch.columns, ["a", "b"])
-
-    return joined.select("a", "b", "x", "y").mapInArrow(kept, "a long, b long")
-
-
-def _mixed_pairs(posts: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of one posting, in different components, with enough matching coordinates.
-
-    posts (token, node, component, n, sig). Postings are split into blocks; a task sees two blocks of one posting."""
-    sizes = posts.groupBy("token").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    n = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = posts.join(sizes.select("token", n.alias("n_blocks")), "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
-    rows = rows.withColumn("other", other).select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "n", "sig")
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        i, j = frame["i"].iat[0], frame["j"].iat[0]
-        left = frame[frame["block"] == i]
-        right = frame[frame["block"] == j]
-        sl, sr = np.stack(left["sig"].to_numpy()) if len(left) else None, np.stack(right["sig"].to_numpy()) if len(right) else None
-        found = []
-        if sl is not None and sr is not None:
-            nl, nr = left["n"].to_numpy(), right["n"].to_numpy()
-            cl, cr = left["component"].to_numpy(), right["component"].to_numpy()
-            al, ar = left["node"].to_numpy(), right["node"].to_numpy()
-            for k in range(len(left)):
-                ok = (cr != cl[k]) & (100 * np.minimum(nr, nl[k]) >= percent * np.maximum(nr, nl[k]))
-                if i == j:
-                    ok &= ar > al[k]
-                w = np.flatnonzero(ok)
-                w = w[(sr[w] == sl[k]).sum(1) >= MATCHES]
-                found += [(min(al[k], x), max(al[k], x)) for x in ar[w]]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return rows.groupBy("token", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+        for t, bounds in _whole_groups(batches, ["family", "i", "j"]):
+            node, raw = np.asarray(t.column("node")).tolist(), t.column("members")
+            block, bi, bj = (np.asarray(t.column(c)) for c in ("block", "i", "j"))
+            found = []
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                sets = [np.frombuffer(raw[k].as_py(), dtype=np.uint64) for k in range(a, b)]
+                if len(sets) < 2:
+                    continue
+                same = intersections(sets)
+                sizes = np.diag(same)
+                linked = 100 * same >= percent * (sizes[:, None] + sizes[None] - same)
+                other = _apart(block[a:b], bi[a], bj[a])
+                found += [(node[a + p], node[a + q]) for p, q in forest(linked if other is None else linked & other)]
+            yield _edges(found)
+
+    return _blocks(members, "family").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, node, component_id) for every row of ``docs``; node names the class of equal sets, and
     component_id is the least doc_id of all documents that links reach."""
     rows = cut(sketches(docs, width), "sketches")
-    classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
-    classes = cut(classes, "classes")
+    classes = cut(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
     posted = classes.select("node", F.posexplode("sig").alias("k", "v")).select(F.xxhash64("k", "v").alias("token"), "node")
     often = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = posted.join(often, "token")
@@ -196,32 +269,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         .where(F.col("r") <= F.col("m") - MATCHES + 1)
         .select("token", "node")
     )
-    posts = cut(prefix, "postings")
-    # leaders: the least class of each posting; a posting that only one class kept in its prefix leads nowhere
-    leaders = posts.groupBy("token").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1").select("token", "leader")
-    stars = cut(posts.join(leaders, "token").where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    meeting = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
-    wanted = cut(classes.join(meeting, "node", "left_semi").select("node", "doc_id", "n", "sig"), "wanted")
-    sets = cut(full_sets(docs, wanted.select("node", "doc_id"), width), "sets")
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        """Drops pairs whose set sizes or signatures already rule them out."""
-        side = lambda c, x: wanted.select(F.col("node").alias(c), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
-        agree = F.aggregate(F.zip_with("s0", "s1", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
-        near = F.least("n0", "n1") * 100 >= F.greatest("n0", "n1") * percent
-        return pairs.join(side("b", 1), "b").join(side("a", 0), "a").where(near & (agree >= MATCHES)).select("a", "b")
-
-    links = cut(verified(sized(stars.groupBy("b").agg(F.min("a").alias("a"))), sets, percent), "links")
-    found = cut(components(links), "components")
-    labelled = lambda df, c, out: df.join(found.select(F.col("node").alias(c), F.col("component").alias(out)), c, "left").withColumn(out, F.coalesce(out, c))
-    apart = labelled(labelled(stars, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-    more = cut(verified(sized(apart), sets, percent), "links")
-    links = links.unionByName(more)
+    low = F.unhex(F.array_join(F.transform("sig", lambda v: F.lpad(F.hex(v.bitwiseAND(F.lit(255))), 2, "0")), ""))
+    posts = prefix.join(classes.select("node", "n", low.alias("sig8")), "node")
+    tried = cut(candidate_forest(posts, percent).distinct(), "candidates")
+    families = cut(components(tried), "families").withColumnRenamed("component", "family")
+    wanted = cut(families.join(classes.select("node", "doc_id"), "node"), "wanted")
+    sets = full_sets(docs, wanted.select("node", "doc_id"), width)
+    links = link_forest(wanted.select("family", "node").join(sets, "node"), percent)
     found = cut(components(links), "components")
-    mixed = labelled(posts.join(wanted, "node"), "node", "component").select("token", "node", "component", "n", "sig")
-    rest = cut(verified(_mixed_pairs(mixed, percent), sets, percent), "links")
-    if rest.limit(1).count():
-        found = cut(components(links.unionByName(rest)), "components")
     named = found.join(classes.select("node", "doc_id"), "node")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "component").select("node", F.col("component_id").alias("linked"))
