@@ -78,7 +78,7 @@ def entropy(value: Column) -> Column:
 
 def collapsed(value: Column) -> Column:
     """White space runs to one space, ends trimmed (Unicode spaces included)."""
-    return F.trim(F.regexp_replace(value, r"[\s ﻿  -     　]+", " "))
+    return F.trim(F.regexp_replace(value, r"[\s\x{A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+", " "))
 
 
 def tokens(value: Column) -> Column:
