@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import embedding_graph, minhash, packing, pii_crf, quality_knn, ring_sharding, spotsigs, token_counts, toxicity_zstd
+from . import embedding_graph, minhash, packing, pii_crf, quality_knn, ring_sharding, sentencepieces, spotsigs, token_counts, toxicity_zstd
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_pii_crf": pii_crf.query,
         "op2_quality_knn": quality_knn.query,
+        "op3_sentencepieces": sentencepieces.query,
         "op4_toxicity_zstd": toxicity_zstd.query,
         "op5_spotsigs": spotsigs.query,
         "op6_embedding_graph": embedding_graph.query,

@@ -23,7 +23,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ODD = re.compile("[^\t\n\r\x20-\x7e\xa1-įı-ſ‐-‧‰-⁞€]|<\\|")
 
 #: Words kept per worker; beyond it the cache starts anew. Longer words are not kept.
-CACHE_WORDS, CACHE_CHARS = 400_000, 48
+CACHE_WORDS, CACHE_CHARS = 250_000, 48
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:

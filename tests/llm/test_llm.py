@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import common, embedding_graph, minhash, packing, pii_crf, quality_knn, ring_sharding, spotsigs, token_counts, toxicity_zstd, wordtokens
+from spanloom.llm import common, embedding_graph, minhash, packing, pii_crf, quality_knn, ring_sharding, sentencepieces, spotsigs, token_counts, toxicity_zstd, wordtokens
 
 SF = os.environ.get("TEST_SF_DIR_LLM", "/root/testdata/sf0.01")
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
@@ -142,6 +142,37 @@ def test_packing_odd_tables(spark, odd, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+# ---------------------------------------------------------------- pieces
+
+
+def test_pieces_are_the_library_s():
+    p = sentencepieces.Pieces(sentencepieces.model_path())
+    rng = random.Random(8)
+    pool = [chr(c) for c in [*range(32, 127), *range(0xA0, 0x180), 0x2581, 0x1F600, 0x4E2D, 0x301, 10, 9]]
+    probe = [*TRICKY, *("".join(rng.choices(pool, k=rng.randint(0, 50))) for _ in range(400))]
+    want = p.library.encode(probe)
+    for t, got, ids in zip(probe, p.encode_all(probe), want):
+        assert got == ids, t
+        assert p.decode(ids) == p.library.decode(ids), t
+
+
+@needs_tables
+def test_piece_query(spark, texts):
+    p = sentencepieces.Pieces(sentencepieces.model_path()).library
+    rows = {r["doc_id"]: r for r in sentencepieces.query(spark, SF).collect()}
+    for i, t in texts.items():
+        ids = p.encode(t)
+        assert (rows[i]["n_pieces"], rows[i]["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        assert rows[i]["decoded_sha256"] == hashlib.sha256(p.decode(ids).encode()).hexdigest()
+
+
+def test_pieces_round_trip(spark, odd, empty):
+    coded = sentencepieces.encode(odd)
+    back = Counter((r["doc_id"], r["text"]) for r in sentencepieces.decode(coded).collect())
+    assert back == Counter((i, (t or "")) for i, t, *_ in odd_rows(20))
+    assert sentencepieces.encode(empty).count() == 0
+
+
 # ---------------------------------------------------------------- sharding
 
 
