@@ -18,8 +18,8 @@ import base64
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -170,7 +170,6 @@ def _exploded(batches):
 # ---------------------------------------------------------------- a text, its edited text and the next one
 
 COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_COLUMNS = [x.split()[0] for x in COMPARED.split(", ")]
 
 
 def edited(text: str, after: str) -> str:
@@ -179,22 +178,6 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - k] + after[:k]
 
 
-def _compare(ids: list, texts: list[str], after: list[str]) -> dict:
-    changed = [edited(t, a) for t, a in zip(texts, after, strict=True)]
-    n = len(texts)
-    sets = signature_sets([*texts, *changed, *after])
-    own, new, nxt = sets[:n], sets[n : 2 * n], sets[2 * n :]
-    return {
-        "doc_id": ids,
-        "n_chars": [len(t) for t in texts],
-        "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed],
-        "fingerprint": [written(s) for s in own],
-        "edited_fingerprint": [written(s) for s in new],
-        "near_edited": [likeness(a, b) for a, b in zip(own, new, strict=True)],
-        "near_next": [likeness(a, b) for a, b in zip(own, nxt, strict=True)],
-    }
-
-
 def _run_of(ids: list, texts: list[str]) -> dict:
     """Every text but the last against the one after it."""
     changed = [edited(t, a) for t, a in zip(texts[:-1], texts[1:], strict=True)]
@@ -215,41 +198,74 @@ def _run_of(ids: list, texts: list[str]) -> dict:
 def against_next(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness to it and to the next text by descending id.
 
-    Texts are dealt once, by ranges of ids. A task meets its rows in order; only the last row of each range has to wait
-    for the head of the next one, and the two meet in a second step over two rows a range."""
+    Ids are cut into ranges at quantiles, read from the id column alone. Texts are dealt once, by range, and the head of
+    each range is dealt to the range before it as well, so a task that walks its range in order has all it needs."""
     spark = docs.sparkSession
-    rows = text_frame(docs)
+    low = -(1 << 63)
+    rows = text_frame(docs).withColumn("id", F.coalesce("doc_id", F.lit(low)))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * rows.rdd.getNumPartitions())
-    ordered = rows.repartitionByRange(parts, F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id"), "text")
-    arrow = pa.schema([*[(c, {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[k]) for c, k in (x.split() for x in COMPARED.split(", "))], ("part", pa.int32()), ("role", pa.string()), ("text", pa.string())])
-
-    def batch_of(columns: dict, role: str, part: int, texts=None) -> pa.RecordBatch:
-        n = len(columns["doc_id"])
-        extra = {"part": [part] * n, "role": [role] * n, "text": texts or [None] * n}
-        return pa.RecordBatch.from_arrays([pa.array((columns | extra).get(f.name, [None] * n), type=f.type) for f in arrow], schema=arrow)
+    ids = rows.select("id")
+    cuts = ids.agg(F.percentile_approx("id", [k / parts for k in range(1, parts)], 10_000)).first()[0] or []
+    cuts = np.unique(np.array(cuts, dtype=np.int64))  # a number a range
+    range_of = lambda x: len(cuts) - np.searchsorted(cuts, x, side="left")  # noqa: E731  descending: the greatest ids are in range 0
+
+    @F.pandas_udf("int")
+    def part_of(x: pd.Series) -> pd.Series:
+        return pd.Series(range_of(x.to_numpy()).astype(np.int32))
+
+    heads = sorted((int(r[0]), int(r[1])) for r in ids.groupBy(part_of("id").alias("part")).agg(F.max("id")).collect())  # two numbers a range
+    before = {head: heads[k - 1][0] for k, (_, head) in enumerate(heads)}  # the range that waits for this head
+    if not before:
+        return spark.createDataFrame([], COMPARED)
+    guest = F.create_map(*[F.lit(x).cast("long") for kv in before.items() for x in kv])[F.col("id")] if len(before) < 200 else _lookup(before)(F.col("id"))
+    place = F.struct(part_of("id").alias("part"), F.lit(0).alias("guest"))
+    placed = rows.withColumn("guest_of", guest).withColumn("at", F.explode(F.filter(F.array(place, F.when(F.col("guest_of").isNotNull(), F.struct(F.col("guest_of").cast("int").alias("part"), F.lit(1).alias("guest")))), lambda x: x.isNotNull())))
+    dealt = placed.select(F.col("at.part").alias("part"), F.col("at.guest").alias("guest"), "id", "doc_id", "text").repartition(parts, "part").sortWithinPartitions("part", "guest", F.desc("id"), "text")
 
     def walk(batches):
-        part, last = TaskContext.get().partitionId(), None
+        part, last, ended = None, None, False
         for batch in batches:
             for piece in chunks(batch):
+                where, guests = piece.column("part").to_pylist(), piece.column("guest").to_pylist()
                 ids, texts = piece.column("doc_id").to_pylist(), texts_of(piece)
-                if last is None:
-                    yield batch_of({"doc_id": ids[:1]}, "head", part, texts[:1])
-                else:
-                    ids, texts = [last[0], *ids], [last[1], *texts]
-                last = (ids[-1], texts[-1])
-                if len(ids) > 1:
-                    yield batch_of(_run_of(ids, texts), "done", part)
-        if last is not None:
-            yield batch_of({"doc_id": [last[0]]}, "open", part, [last[1]])
-
-    walked = cut(ordered.mapInArrow(walk, COMPARED + ", part int, role string, text string"), "walked")
-    heads = walked.where("role = 'head'").select("part", F.col("text").alias("after"))
-    number = Window.orderBy("part")  # one small number a range
-    order = heads.select("part", F.coalesce(F.lead("part").over(number), F.min("part").over(Window.partitionBy())).alias("next"))
-    waiting = walked.where("role = 'open'").select("part", "doc_id", "text").join(order, "part").join(heads.withColumnRenamed("part", "next"), "next").select("doc_id", "text", "after")
-    work = lambda batch: _compare(batch.column("doc_id").to_pylist(), texts_of(batch), texts_of(batch, "after"))
-    return walked.where("role = 'done'").select(*_COLUMNS).unionByName(map_batches(waiting, work, COMPARED))
+                run_ids, run_texts = [], []
+
+                def done(run_ids=run_ids, run_texts=run_texts):
+                    if len(run_ids) > 1:
+                        yield _record(_run_of(run_ids, run_texts))
+
+                if last is not None:
+                    run_ids.append(last[0])
+                    run_texts.append(last[1])
+                for p, g, i, t in zip(where, guests, ids, texts, strict=True):
+                    if p != part:
+                        yield from done()
+                        run_ids.clear()
+                        run_texts.clear()
+                        part, ended = p, False
+                    if not ended:
+                        run_ids.append(i)
+                        run_texts.append(t)
+                    ended = ended or g == 1  # equal ids may send more than one guest: the first in order counts
+                yield from done()
+                last = (run_ids[-1], run_texts[-1]) if run_ids else None
+
+    return dealt.mapInArrow(walk, COMPARED)
+
+
+def _lookup(numbers: dict[int, int]):
+    @F.pandas_udf("int")
+    def find(x: pd.Series) -> pd.Series:
+        return x.map(numbers).astype("Int32")
+
+    return find
+
+
+_ARROW = pa.schema([(c, {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[k]) for c, k in (x.split() for x in COMPARED.split(", "))])
+
+
+def _record(columns: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in _ARROW], schema=_ARROW)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
