@@ -7,20 +7,67 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars
-from ..functions.offsets import find_spans
+from ..functions.offsets import SPAN, find_spans
 
 # Gram length, share at which an item is dropped, least tokens, longest run looked for.
 GRAM, DROP_ABOVE, LEAST_TOKENS, LONGEST = 8, 0.7, 3, 24
 
-
-def format_sweep(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:
-    """(label, doc_id, start, end, text) of all labelled patterns, in one pass over the texts."""
-    every = F.concat(*[F.transform(find_spans(F.col("text"), p), lambda s, k=k: F.struct(F.lit(k).alias("label"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"))) if False else _labelled(k, p) for k, p in patterns.items()])
+# Published layouts of identifiers and secrets, without checksums: a certification sweep is for recall.
+_GAP = r"\s\x{A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+FORMAT_SPEC = {
+    "pan-shaped": r"\b[A-Za-z]{5}[0-9]{4}[A-Za-z]\b",
+    "tan-shaped": r"\b[A-Za-z]{4}[0-9]{5}[A-Za-z]\b",
+    "twelve-digit-run": r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b",
+    "long-digit-run": r"\b[0-9]{9,}\b",
+    "ifsc-shaped": r"\b[A-Za-z]{4}0[A-Za-z0-9]{6}\b",
+    "at-handle": r"\b[A-Za-z0-9][A-Za-z0-9._-]{2,}@[A-Za-z][A-Za-z0-9]{2,}\b",
+    "prefixed-customer-id": r"(?i)\b(?:CIF|CRN|KYC)[ /:#-]?[0-9]{5,12}\b",
+    "credential-prefix": r"\b(?:AKIA|ASIA)[0-9A-Za-z]{10,}|\bghp_[A-Za-z0-9]{20,}|\bxox[abprs]-[A-Za-z0-9-]{8,}|\bsk-[A-Za-z0-9-]{10,}",
+    "pem-encapsulation": r"-----BEGIN [A-Z0-9 ]+-----",
+    "driver-url": rf"\b(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|mssql|redis|amqp|sftp|ftps?|jdbc:[a-z]+)://[^{_GAP}\"']+",
+    "masked-tail": r"\bX{4,}[ -]?(?:X{4}[ -]?)*[0-9]{4}\b",
+}
+# What a text must hold for a pattern to match in it: looked for first, at a fraction of the cost.
+NEEDED = {
+    "pan-shaped": "[A-Za-z][0-9]{4}[A-Za-z]",
+    "tan-shaped": "[A-Za-z][0-9]{5}[A-Za-z]",
+    "twelve-digit-run": "[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}",
+    "long-digit-run": "[0-9]{9}",
+    "ifsc-shaped": "[A-Za-z]{4}0",
+    "at-handle": "@",
+    "prefixed-customer-id": "[0-9]{5}",
+    "credential-prefix": "AKIA|ASIA|ghp_|xox|sk-",
+    "pem-encapsulation": "-----BEGIN ",
+    "driver-url": "://",
+    "masked-tail": "XXXX",
+    "high-entropy-token": "(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{16}",
+}
+# Tokens of at least 16 characters with at least so many bits a character.
+ENTROPY_TOKEN, ENTROPY_BITS = r"[A-Za-z0-9+/=_-]{16,}", 3.0
+
+
+def format_spec_sweep(docs: DataFrame) -> DataFrame:
+    """The whole sweep of published layouts, with the tokens of high entropy: columns as of ``format_sweep``."""
+    return format_sweep(docs, FORMAT_SPEC, ENTROPY_BITS, NEEDED)
+
+
+def format_sweep(docs: DataFrame, patterns: dict[str, str], bits: float | None = None, needed: dict[str, str] | None = None) -> DataFrame:
+    """(label, doc_id, start, end, text) of all labelled patterns, in one pass over the texts; with ``bits`` also of the
+    long tokens whose entropy reaches it. ``needed`` has patterns without which a label cannot occur."""
+
+    def spans(k: str, p: str) -> Column:
+        every = find_spans(F.col("text"), p)
+        return F.when(F.col("text").rlike(needed[k]), every).otherwise(F.array().cast(f"array<{SPAN}>")) if needed and k in needed else every
+
+    found = [_labelled(k, spans(k, p)) for k, p in patterns.items()]
+    if bits is not None:
+        found.append(_labelled("high-entropy-token", F.filter(spans("high-entropy-token", ENTROPY_TOKEN), lambda s: scalars.entropy(s["text"]) >= bits)))
+    every = F.concat(*found)
     return docs.select("doc_id", F.explode(every).alias("x")).select("x.label", "doc_id", "x.start", "x.end", "x.text")
 
 
-def _labelled(label: str, pattern: str) -> Column:
-    return F.transform(find_spans(F.col("text"), pattern), lambda s: F.struct(F.lit(label).alias("label"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text")))
+def _labelled(label: str, spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(F.lit(label).alias("label"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text")))
 
 
 def widened(rules: DataFrame) -> DataFrame:

@@ -14,13 +14,14 @@ class GenerationError(ValueError):
     pass
 
 
-def generate(carriers: DataFrame, forms: list[str], seed: str = "0", examples: DataFrame | None = None, sweeps: dict[str, str] | None = None) -> DataFrame:
+def generate(carriers: DataFrame, forms: list[str], seed: str = "0", examples: DataFrame | None = None, sweep=None) -> DataFrame:
     """carriers (item_id, text) to items (item_id, text, spans, part): certified carriers, one seeded value each dealt
-    by a hash, injected at a word boundary; contaminated items dropped; split by form; the invariant checked again."""
+    by a hash, injected at a word boundary; contaminated items dropped; split by form; the invariant checked again.
+    ``sweep`` takes (doc_id, text) to its hits, any of which quarantines a carrier; without one all carriers are taken."""
     spark = carriers.sparkSession
     clear = carriers
-    if sweeps:
-        hits = K.format_sweep(carriers.select(F.col("item_id").alias("doc_id"), "text"), sweeps).select(F.col("doc_id").alias("item_id"), F.lit("main").alias("stage"))
+    if sweep:
+        hits = sweep(carriers.select(F.col("item_id").alias("doc_id"), "text")).select(F.col("doc_id").alias("item_id"), F.lit("main").alias("stage"))
         clear = carriers.join(K.certify(hits, carriers.select("item_id")).where("status = 'certified-clear'"), "item_id").select("item_id", "text")
     pool = I.minted(spark, forms, 64, seed)
     deal = F.pmod(F.xxhash64(F.lit(seed), "item_id"), F.lit(len(forms) * 64))

@@ -186,6 +186,29 @@ def sweep_partition(spark, d):
     return g.groupBy(F.when(F.col("m") & F.col("e"), "both").when(F.col("m"), "main-only").otherwise("extra-only").alias("part")).agg(F.count("*").alias("n"))
 
 
+def _spec_hits(doc):
+    """Hits of the main sweeps and of the whole format sweep, which is the supplementary one."""
+    main = K.format_sweep(doc, {k: SWEEP[k] for k in ("email", "phone")}).withColumn("stage", F.lit("main"))
+    return main.unionByName(K.format_spec_sweep(doc).withColumn("stage", F.lit("extra")))
+
+
+for _n in ("A43_certification_spec", "Z05_certify_carriers_spec"):
+
+    @query(_n)
+    def certification_spec(spark, d):
+        doc = read(spark, d, "documents").select("doc_id", "text")
+        # any hit quarantines, whichever sweep made it
+        hits = _spec_hits(doc).select(F.col("doc_id").alias("item_id"), F.lit("main").alias("stage"))
+        return K.certify(hits, doc.select(F.col("doc_id").alias("item_id"))).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("U05_sweep_partition_spec")
+def sweep_partition_spec(spark, d):
+    h = _spec_hits(read(spark, d, "documents").select("doc_id", "text"))
+    g = h.groupBy("doc_id").agg(F.bool_or(F.col("stage") == "main").alias("m"), F.bool_or(F.col("stage") == "extra").alias("e"))
+    return g.groupBy(F.when(F.col("m") & F.col("e"), "both").when(F.col("m"), "main-only").otherwise("extra-only").alias("part")).agg(F.count("*").alias("n"))
+
+
 for _n in ("A44_adjacency", "W07_adjacent_stratum"):
 
     @query(_n, "WITH n AS (SELECT lang, count(*) AS c FROM documents GROUP BY lang) SELECT (SELECT round(avg(CAST(s AS DOUBLE)), 9) FROM (SELECT CAST(lag(lang) OVER (ORDER BY doc_id) = lang AS INT) AS s FROM documents) AS x) AS rate, (SELECT round(sum(c * (c - 1)) / (sum(c) * (sum(c) - 1))::DOUBLE, 9) FROM n) AS chance")

@@ -153,6 +153,16 @@ for _n in ("F19_format_sweep", "X06_sweep_function"):
         return format_sweep(read(spark, d, "documents").select("doc_id", "text"), SWEEP).select("label", "doc_id", F.col("start").cast("long").alias("s_start"), F.col("end").cast("long").alias("s_end"))
 
 
+# The SQL twins above hold eight patterns only; the sweep of the survey, with its entropy rule, has none.
+for _n in ("F19_format_spec_sweep", "X06_format_spec_sweep"):
+
+    @query(_n)
+    def format_spec_sweep(spark, d):
+        from ..operators.corpus import format_spec_sweep
+
+        return format_spec_sweep(read(spark, d, "documents").select("doc_id", "text")).select("label", "doc_id", F.col("start").cast("long").alias("s_start"), F.col("end").cast("long").alias("s_end"))
+
+
 @query("F20_widened_policy", "SELECT 'r-card' AS rule_id, CAST(NULL AS STRING) AS validator, CAST(NULL AS DOUBLE) AS entropy_threshold, CAST(NULL AS INT) AS min_length UNION ALL SELECT 'r-entropy', NULL, 2.5, 12")
 def widened(spark, d):
     from ..operators.corpus import widened

@@ -288,8 +288,10 @@ for _n in ("Z06_generate_corpus", "Z12_corpus_builders"):
 
     @query(_n)
     def generate(spark, d):
+        from ..operators.corpus import format_spec_sweep
+
         c = read(spark, d, "documents").where("length(text) > 0").select(F.col("doc_id").alias("item_id"), "text")
-        g = generation.generate(c, ["pan", "ticket", "cloud-key", "uuid"], examples=read(spark, d, "benchmark").select(F.col("item_id").alias("example_id"), "text"))
+        g = generation.generate(c, ["pan", "ticket", "cloud-key", "uuid"], sweep=format_spec_sweep, examples=read(spark, d, "benchmark").select(F.col("item_id").alias("example_id"), "text"))
         return g.select("item_id", "form", "part")
 
 
