@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .offsets import SPAN, find_spans
 from .regexes import java
 
 
@@ -156,6 +157,28 @@ def odd_token(token: Column) -> Column:
     return reduce(lambda a, b: a | b, rules)
 
 
+#: Dashed blocks, whole runs of token characters that look minted, and runs of capitalised words. The rules stand before
+#: the run, so that the many plain runs of a long text are never made into spans.
+PEM_BLOCK, TITLES, _RUN = r"-----BEGIN[^\n]*-----[\s\S]*?-----END[^\n]*-----", r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)+\b", "[A-Za-z0-9@._/:+=~-]"
+_RULES = [f"(?={_RUN}*[0-9])(?={_RUN}*[A-Za-z])", f"(?=[0-9]{{9,}}(?!{_RUN}))", f"(?={_RUN}*[A-Za-z0-9]@[A-Za-z0-9])", f"(?={_RUN}*://)", f"(?=[A-Z]{{4,}}(?!{_RUN}))", f"(?=[A-Za-z0-9+/=]{{16,}}(?!{_RUN}))"]
+ODD_RUN = f"(?<!{_RUN})(?:{'|'.join(_RULES)}){_RUN}{{3,}}"
+
+
+def orthographic_oracle(text: Column) -> Column:
+    """array<struct<start,end,text>>: PEM blocks, odd runs and title bigrams in order, without what lies in another."""
+    pem = F.when(text.contains("-----BEGIN"), find_spans(text, PEM_BLOCK)).otherwise(F.array().cast(f"array<{SPAN}>"))
+    every = F.concat(pem, find_spans(text, ODD_RUN), find_spans(text, TITLES))
+    # by start, and the longest first: a span lies in an earlier one if none of it is new
+    order = F.array_sort(F.transform(every, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["text"].alias("text"))))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+
+    def step(acc, x):
+        own = F.struct(x["start"].alias("start"), (-x["back"]).alias("end"), x["text"].alias("text"))
+        return F.struct(F.greatest(acc["at"], own["end"]).alias("at"), F.when(own["end"] > acc["at"], F.array_append(acc["spans"], own)).otherwise(acc["spans"]).alias("spans"))
+
+    return F.aggregate(order, start, step, lambda acc: acc["spans"])
+
+
 def intersection(s1, e1, s2, e2) -> Column:
     return F.greatest(F.lit(0), F.least(e1, e2) - F.greatest(s1, s2))
 

@@ -122,6 +122,13 @@ for _n in ("F15_odd_tokens", "F16_orthographic_oracle"):
         return w.where(S.odd_token(F.col("w"))).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+# The SQL twin of F16 counts odd words; the spans of the oracle have none.
+@query("F16_orthographic_spans")
+def oracle_spans(spark, d):
+    s = read(spark, d, "documents").select("doc_id", F.explode(S.orthographic_oracle(F.col("text"))).alias("s"))
+    return s.select("doc_id", F.col("s.start").cast("long").alias("s_start"), F.col("s.end").cast("long").alias("s_end"), F.col("s.text").alias("s_text"))
+
+
 @query("F17_title_multiword", f"SELECT doc_id, s_start, s_end, s_text FROM {sql_spans('documents', chr(92) + 'b' + TITLE + chr(92) + 'b')} AS f")
 def title(spark, d):
     s = read(spark, d, "documents").select("doc_id", F.explode(find_spans(F.col("text"), rf"\b{TITLE}\b")).alias("s"))

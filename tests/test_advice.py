@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from spanloom import catalog
+from spanloom.functions import scalars as S
 from spanloom.operators import corpus as K
 
 SF = "/root/testdata/sf0.001"
@@ -44,3 +45,25 @@ def test_generated_carriers_are_certified(spark):
     hit = K.format_spec_sweep(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")).select(F.col("doc_id").alias("item_id"))
     made = catalog.queries()["Z06_generate_corpus"](spark, SF)
     assert made.count() > 0 and made.join(hit, "item_id", "left_semi").count() == 0
+
+
+def plain_oracle(text):
+    """The oracle as the reference words it."""
+    spans = [m.span() for m in re.finditer(S.PEM_BLOCK, text)]
+    for m in re.finditer("[A-Za-z0-9@._/:+=~-]{3,}", text):
+        t = m.group()
+        odd = (re.search("[0-9]", t) and re.search("[A-Za-z]", t)) or re.fullmatch("[0-9]{9,}", t) or re.search("[A-Za-z0-9]@[A-Za-z0-9]", t) or "://" in t or re.fullmatch("[A-Z]{4,}", t) or re.fullmatch("[A-Za-z0-9+/=]{16,}", t)
+        if odd and not any(a <= m.start() and m.end() <= b for a, b in spans):
+            spans.append(m.span())
+    spans += [m.span() for m in re.finditer(S.TITLES, text, re.ASCII)]
+    return sorted(s for s in spans if not any(o != s and o[0] <= s[0] and s[1] <= o[1] for o in spans))
+
+
+def test_orthographic_oracle(spark):
+    texts = ["-----BEGIN KEY-----\nab12 ABCD\nAcme Corp\n-----END KEY----- x9 tail", "é😀 we met Acme Corp today", "Internationalisation Of Things", "abc-----BEGIN-----x1-----END-----", "", "a1b, ABCD; x@y 123456789 12345678 http://q"]
+    texts += [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").where("text is not null").limit(60).collect()]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", S.orthographic_oracle(F.col("t")).alias("s")).collect()
+    for r in rows:
+        assert [(s["start"], s["end"]) for s in r["s"]] == plain_oracle(texts[r["i"]])
+        assert all(s["text"] == texts[r["i"]][s["start"] : s["end"]] for s in r["s"])
+    assert catalog.queries()["F16_orthographic_spans"](spark, SF).columns == ["doc_id", "s_start", "s_end", "s_text"]
