@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -68,6 +69,32 @@ def decode_token_logits(logits: np.ndarray, threshold: float, max_width: int) ->
     return sorted(out, key=lambda x: (-x[3], x[0], x[1], x[2]))
 
 
+#: White space and zero-width characters that never begin or end a span.
+TRIMMABLE = frozenset("\t\n\v\f\r \u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff\u200b\u200c\u200d") | {chr(c) for c in range(0x2000, 0x200B)}
+
+
+def span_from_tokens(text: str, tokens: list[tuple[int, int]], first: int, last: int) -> tuple[int, int] | None:
+    """(start, end) in ``text`` of the tokens first to last; nothing for indices or tokens that are malformed. Ends are
+    trimmed, and combining marks after the end belong to it. Offsets count code points, so no pair can be split."""
+    whole = lambda *v: all(isinstance(x, (int, np.integer)) and not isinstance(x, bool) for x in v)
+    if not whole(first, last) or first < 0 or last < first or last >= len(tokens):
+        return None
+    start, end = tokens[first][0], tokens[last][1]
+    if not 0 <= start < end <= len(text):
+        return None
+    if not all(whole(a, b) and start <= a < b <= end for a, b in tokens[first : last + 1]):
+        return None
+    while start < end and text[start] in TRIMMABLE:
+        start += 1
+    while end > start and text[end - 1] in TRIMMABLE:
+        end -= 1
+    if start >= end:
+        return None
+    while end < len(text) and unicodedata.category(text[end]).startswith("M"):
+        end += 1
+    return start, end
+
+
 def encode_words(ids_of_words: list[list[int]], prompt: list[int], cls: int, sep: int, max_length: int) -> tuple[list[int], list[int]]:
     """Token ids and a mask that numbers the first piece of each word from 1; empty words go, the end is cut."""
     ids, mask = [cls, *prompt], [0] * (1 + len(prompt))

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions.offsets import find_spans
 from ..operators import injection as I
 from ..operators import judging as J
 from ..operators import prompts, tagging, vault
@@ -65,7 +66,7 @@ def resolve_mention(spark, d):
     return mapped(messages(spark, d), one, "item_id long, s_start long, s_end long")
 
 
-for _n in ("M06_decode_token_logits", "M08_span_from_tokens"):
+for _n in ("M06_decode_token_logits",):
 
     @query(_n)
     def decode_tokens(spark, d):
@@ -77,6 +78,23 @@ for _n in ("M06_decode_token_logits", "M08_span_from_tokens"):
         return read(spark, d, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, first_word long, last_word long, class_index long, score double")
 
 
+@query("M08_span_from_tokens")
+def token_spans(spark, d):
+    """Every span of at most two words of the benchmark's texts."""
+
+    def one(r):
+        words = [(w["start"], w["end"]) for w in r.words]
+        found = ((a, b, tagging.span_from_tokens(r.text, words, a, b)) for a in range(len(words)) for b in range(a, min(a + 2, len(words))))
+        return [(r.item_id, a, b, s[0], s[1], r.text[s[0] : s[1]]) for a, b, s in found if s]
+
+    def run(frames):
+        for f in frames:
+            yield pd.DataFrame([x for r in f.itertuples(index=False) for x in one(r)], columns=["item_id", "first_word", "last_word", "s_start", "s_end", "s_text"])
+
+    rows = read(spark, d, "benchmark").where("text is not null").select("item_id", "text", find_spans(F.col("text"), tagging.WORD).alias("words"))
+    return rows.mapInPandas(run, "item_id long, first_word long, last_word long, s_start long, s_end long, s_text string")
+
+
 @query("M03_encode_words")
 def encode(spark, d):
     def one(r):

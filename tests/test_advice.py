@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spanloom import catalog
 from spanloom.functions import scalars as S
 from spanloom.operators import corpus as K
+from spanloom.operators import tagging
 
 SF = "/root/testdata/sf0.001"
 HELD = {
@@ -67,3 +68,13 @@ def test_orthographic_oracle(spark):
         assert [(s["start"], s["end"]) for s in r["s"]] == plain_oracle(texts[r["i"]])
         assert all(s["text"] == texts[r["i"]][s["start"] : s["end"]] for s in r["s"])
     assert catalog.queries()["F16_orthographic_spans"](spark, SF).columns == ["doc_id", "s_start", "s_end", "s_text"]
+
+
+def test_span_from_tokens(spark):
+    t = "call Andre\u0301 Corp \u200b x"
+    words = [(0, 4), (5, 10), (10, 11), (12, 16), (17, 18), (19, 20)]
+    assert tagging.span_from_tokens(t, words, 1, 1) == (5, 11)
+    assert tagging.span_from_tokens(t, words, 3, 4) == (12, 16)
+    assert [tagging.span_from_tokens(t, words, *x) for x in ((4, 4), (-1, 0), (1, 0), (5, 6), (0.5, 1))] == [None] * 5
+    assert tagging.span_from_tokens(t, [(5, 9), (0, 4), (10, 14)], 0, 2) is None
+    assert "s_text" in catalog.queries()["M08_span_from_tokens"](spark, SF).columns
