@@ -22,17 +22,25 @@ def mint_shadows(predicates: DataFrame, entity_types: DataFrame) -> DataFrame:
     return made.join(F.broadcast(entity_types.select("entity_type")), "entity_type", "left_anti")
 
 
+#: Quotes that are sent to every task at most, and the length of the beginnings by which more are met.
+MOST_QUOTES, KEY = 100_000, 16
+
+
 def grounded_counts(quotes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(item_id, n_docs) of the documents that contain each quote (item_id, quote).
+    """(item_id, n_docs) of the documents that contain each quote (item_id, quote); every row of ``docs`` counts.
 
     Quotes come from one policy document or a benchmark: they are few, and their number is checked before they are
-    sent to every task; more than that are met in an index of their first words instead."""
-    if quotes.limit(100_001).count() <= 100_000:
-        hits = docs.join(F.broadcast(quotes), F.expr("contains(text, quote)")).groupBy("item_id").agg(F.count("*").alias("n"))
+    sent to every task; more than that are met in an index of their beginnings instead, with the same counts."""
+    if quotes.limit(MOST_QUOTES + 1).count() <= MOST_QUOTES:
+        hits = docs.join(F.broadcast(quotes), F.expr("contains(text, quote)"))
     else:
-        key = lambda c: F.substring(c, 1, 16)
-        pieces = docs.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 15, F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(16))))).alias("k"))
-        hits = pieces.join(quotes.withColumn("k", key(F.col("quote"))), "k").where(F.expr("contains(text, quote)")).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n"))
+        # a quote shorter than the key is met by pieces of its own length; one row meets a quote at one piece only
+        lengths = sorted(r[0] for r in quotes.where("quote is not null").select(F.least(F.length("quote"), F.lit(KEY))).distinct().collect())  # KEY + 1 at most
+        none, size = F.array().cast("array<string>"), F.length("text")
+        piece = lambda n: F.when(size >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(F.col("text"), i, F.lit(n))))).otherwise(none) if n else F.array(F.lit(""))
+        pieces = docs.select("text", F.explode(F.concat(none, *[piece(n) for n in lengths])).alias("k"))
+        hits = pieces.join(quotes.withColumn("k", F.substring("quote", 1, KEY)), "k").where(F.expr("contains(text, quote)"))
+    hits = hits.groupBy("item_id").agg(F.count("*").alias("n"))
     return quotes.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_docs"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spanloom import catalog
 from spanloom.functions import scalars as S
+from spanloom.operators import compiling as C
 from spanloom.operators import corpus as K
 from spanloom.operators import tagging
 
@@ -78,3 +79,12 @@ def test_span_from_tokens(spark):
     assert [tagging.span_from_tokens(t, words, *x) for x in ((4, 4), (-1, 0), (1, 0), (5, 6), (0.5, 1))] == [None] * 5
     assert tagging.span_from_tokens(t, [(5, 9), (0, 4), (10, 14)], 0, 2) is None
     assert "s_text" in catalog.queries()["M08_span_from_tokens"](spark, SF).columns
+
+
+def test_quotes_count_the_same_at_every_size(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a short text with some words"), (None, "short"), (None, "short"), (2, "a short text with some words"), (2, "é short quote that is longer"), (3, None), (4, "")], "doc_id long, text string")
+    quotes = spark.createDataFrame([(1, "short"), (2, "text with some words"), (3, "absent"), (4, ""), (5, None), (6, "é"), (7, "short quote that"), (8, "a short text with words")], "item_id long, quote string")
+    want = {1: 5, 2: 2, 3: 0, 4: 6, 5: 0, 6: 1, 7: 1, 8: 0}
+    for most in (100, 3):
+        monkeypatch.setattr(C, "MOST_QUOTES", most, raising=False)
+        assert {r["item_id"]: r["n_docs"] for r in C.grounded_counts(quotes, docs).collect()} == want
