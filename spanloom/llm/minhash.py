@@ -93,12 +93,13 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
         values, bounds = shingles(batch.column("text").to_pylist(), width)
         return {
             "doc_id": batch.column("doc_id"),
+            "h": batch.column("h"),
             "n_shingles": np.diff(bounds),
             "node": [class_of(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)],
             "sig": list(signatures(values, bounds)),
         }
 
-    return map_batches(text_frame(docs), work, "doc_id long, n_shingles long, node long, sig array<int>")
+    return map_batches(text_frame(docs).withColumn("h", F.xxhash64("text")), work, "doc_id long, h long, n_shingles long, node long, sig array<int>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -118,7 +119,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         return {"doc_id": batch.column("doc_id").take(hit), "node": [class_of(s) for s in sets], "members": [s.tobytes() for s in sets]}
 
     made = map_batches(text_frame(docs).withColumn("h", h), work, "doc_id long, node long, members binary")
-    return made.join(wanted, ["node", "doc_id"], "left_semi").groupBy("node").agg(F.first("members").alias("members"))
+    w = wanted.select(F.col("node").alias("__node"), F.col("doc_id").alias("__id"))
+    return made.join(w, (F.col("node") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").groupBy("node").agg(F.first("members").alias("members"))
 
 
 def forest(linked: np.ndarray) -> list[tuple[int, int]]:
@@ -254,10 +256,11 @@ def link_forest(members: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, node, component_id) for every row of ``docs``; node names the class of equal sets, and
-    component_id is the least doc_id of all documents that links reach."""
+    """(doc_id, n_shingles, node, component_id, h, stays) for every row of ``docs``; node names the class of equal sets,
+    component_id is the least doc_id of all documents that links reach, h a digest of the text, and stays says whether
+    the row is the one text that is kept of them (null ids come last)."""
     rows = cut(sketches(docs, width), "sketches")
-    classes = cut(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
+    classes = cut(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("best"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
     posted = classes.select("node", F.posexplode("sig").alias("k", "v")).select(F.xxhash64("k", "v").alias("token"), "node")
     often = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = posted.join(often, "token")
@@ -277,25 +280,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sets = full_sets(docs, wanted.select("node", "doc_id"), width)
     links = link_forest(wanted.select("family", "node").join(sets, "node"), percent)
     found = cut(components(links), "components")
-    named = found.join(classes.select("node", "doc_id"), "node")
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "component").select("node", F.col("component_id").alias("linked"))
-    own = classes.select("node", F.col("doc_id").alias("own")).join(named, "node", "left").select("node", F.coalesce("linked", "own").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "node").join(own, "node", "left")
-    return out.select("doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = found.join(classes.select("node", "best"), "node")
+    least = named.groupBy("component").agg(F.min("best").alias("linked"))
+    named = named.select("node", "component").join(least, "component").select("node", "linked")
+    own = classes.select("node", "best").join(named, "node", "left").select("node", F.coalesce("linked", "best").alias("best"))
+    out = rows.select("doc_id", "n_shingles", "node", "h").join(own, "node", "left")
+    stays = F.col("best").isNull() | (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("h") == F.col("best.h")))
+    return out.select("doc_id", "n_shingles", "node", F.coalesce("best.doc_id", "doc_id").alias("component_id"), "h", stays.alias("stays"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay when one document of every group of near-duplicates is kept, with all their
     columns. Rows equal in doc_id and text count as one document."""
     found = cut(near_duplicates(docs, width, percent), "groups")
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    stay = found.where("stays").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
     repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    kept = docs.join(stay.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("__h")), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: groups of near-duplicates on two-word shingles."""
     found = near_duplicates(table(spark, sf_dir, "documents"), width=2)
-    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("stays").alias("kept"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spanloom import catalog
 from spanloom.functions import scalars as S
+from spanloom.llm import minhash
 from spanloom.operators import compiling as C
 from spanloom.operators import corpus as K
 from spanloom.operators import tagging
@@ -88,3 +89,12 @@ def test_quotes_count_the_same_at_every_size(spark, monkeypatch):
     for most in (100, 3):
         monkeypatch.setattr(C, "MOST_QUOTES", most, raising=False)
         assert {r["item_id"]: r["n_docs"] for r in C.grounded_counts(quotes, docs).collect()} == want
+
+
+def test_near_copies_without_an_id_or_with_one_of_two_texts(spark):
+    base = [f"word{i}" for i in range(60)]
+    a, b, c, d = " ".join(base), " ".join([*base, "tail"]), " ".join([*base, "end"]), " ".join(f"other{i}" for i in range(60))
+    docs = spark.createDataFrame([(None, a), (None, a), (5, b), (9, c), (9, d), (None, d + " x"), (3, None)], "doc_id long, text string")
+    found = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in minhash.near_duplicates(docs, 2).collect()}
+    assert found[None, 59] == 5
+    assert {(r["doc_id"], r["text"]) for r in minhash.one_of_each(docs, 2).collect()} == {(5, b), (9, d), (3, None)}
