@@ -166,6 +166,27 @@ def test_piece_query(spark, texts):
         assert rows[i]["decoded_sha256"] == hashlib.sha256(p.decode(ids).encode()).hexdigest()
 
 
+def test_pieces_of_long_words():
+    p = sentencepieces.Pieces(sentencepieces.model_path())
+    rng = random.Random(9)
+    long = ["".join(rng.choices("abcdefgh", k=60_000)), "é漢x" * 5000, "7" * 30_000, "a" * 65, "b" * 64 + "\0" + "c" * 70]
+    for t, got in zip(long, p.encode_all(long)):
+        assert got == p.library.encode(t)
+    assert p.encode_all(long)[0] == p.library.encode(long[0])  # what was forgotten is learnt again
+    whole = " ".join("".join(rng.choices("abcdefgh", k=rng.randint(1, 12))) for _ in range(300_000))
+    assert p.encode_all([whole])[0] == p.library.encode(whole)
+
+
+def test_pieces_forget(monkeypatch):
+    monkeypatch.setattr(sentencepieces, "CACHE_WORDS", 5)
+    monkeypatch.setattr(sentencepieces, "BATCH_CHARS", 40)
+    p = sentencepieces.Pieces(sentencepieces.model_path())
+    rng = random.Random(2)
+    for _ in range(60):
+        probe = [" ".join(rng.choices(WORDS, k=rng.randint(0, 9))) for _ in range(3)]
+        assert p.encode_all(probe) == p.library.encode(probe)
+
+
 def test_pieces_round_trip(spark, odd, empty):
     coded = sentencepieces.encode(odd)
     back = Counter((r["doc_id"], r["text"]) for r in sentencepieces.decode(coded).collect())
