@@ -1,7 +1,7 @@
 """Detection: segments, pattern rules, entropy rules, escalation and notices.
 
-Texts are scanned once a rule by native expressions; a literal that every match must hold filters rows before the
-pattern runs. Everything stays within one stage until findings are grouped by document.
+Texts are scanned by native expressions, a rule at a time; only a text that matches a rule at all is searched for places.
+Everything stays within one stage until findings are grouped by document.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars
-from ..functions.offsets import find_spans
+from ..functions.offsets import find_spans, running
 from ..sources.policy import SEVERITIES, Policy
 
 # Confidence of a pattern match, what context adds, its cap; of an entropy match; the least sure.
@@ -55,13 +55,8 @@ def _lines(text: Column, offset: Column) -> Column:
     n = F.size(parts)
     kept = F.transform(parts, lambda x, i: F.when(i < n - 1, F.concat(x, F.lit("\n"))).otherwise(x))
     kept = F.filter(kept, lambda x: F.length(x) > 0)
-    zero = F.struct(offset.alias("at"), F.array().cast("array<struct<start:int,end:int,kind:string>>").alias("out"))
-
-    def step(acc, x):
-        end = acc["at"] + F.length(x)
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(acc["at"].alias("start"), end.alias("end"), F.when(kv_line(x), "kv").otherwise("prose").alias("kind"))).alias("out"))
-
-    return F.aggregate(kept, zero, step, lambda a: a["out"])
+    before = running(F.transform(kept, lambda x: F.length(x)))
+    return F.zip_with(kept, before, lambda x, at: F.struct((offset + at).alias("start"), (offset + at + F.length(x)).alias("end"), F.when(kv_line(x), "kv").otherwise("prose").alias("kind")))
 
 
 def boosted(message: Column, start: Column, end: Column, words: tuple[str, ...]) -> Column:
@@ -116,6 +111,11 @@ def tier0(docs: DataFrame, policy: Policy) -> DataFrame:
     return found
 
 
+def with_severity(findings: DataFrame, entity_types: DataFrame) -> DataFrame:
+    """Findings that were read off the texts themselves, with the policy's severity: nothing else can be wrong with them."""
+    return findings.drop("severity").join(F.broadcast(entity_types.select("entity_type", "severity")), "entity_type").select(*[c for c in findings.columns if c != "severity"], "severity")
+
+
 def normalised(findings: DataFrame, docs: DataFrame, entity_types: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sound findings with the policy's severity, unsound ones with a reason); no reason holds the matched text."""
     j = findings.drop("severity").join(docs.select("doc_id", F.col("text").alias("message")), "doc_id", "left").join(F.broadcast(entity_types.select("entity_type", "severity")), "entity_type", "left")

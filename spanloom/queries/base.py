@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import read_table
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -22,8 +24,12 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+#: Tables whose rows are worth dealing out: those with texts.
+TEXTS = ("documents", "pages", "conversations")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name) if name in TEXTS else spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def quoted(text: str) -> str:
