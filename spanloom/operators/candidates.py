@@ -7,10 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def candidate_spans(spans: DataFrame, most: int = 24) -> DataFrame:
-    """(item_id, s, e, src): one span for each place, from the least source, and the first ``most`` of an item."""
-    first = spans.withColumn("r", F.row_number().over(Window.partitionBy("item_id", "s", "e").orderBy("src"))).where("r = 1")
-    return first.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy("s", "e"))).where(F.col("r") <= most).select("item_id", "s", "e", "src")
+#: Candidates of a message at most.
+MOST = 24
+
+
+def one_a_place(spans: DataFrame) -> DataFrame:
+    """(item_id, s, e, src): one span for each place, from the least source."""
+    return spans.groupBy("item_id", "s", "e").agg(F.min("src").alias("src"))
+
+
+def first_of_item(spans: DataFrame, most: int = MOST) -> DataFrame:
+    """The first ``most`` places of an item."""
+    return spans.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy("s", "e", "src"))).where(F.col("r") <= most).select("item_id", "s", "e", "src")
+
+
+def candidate_spans(spans: DataFrame, most: int = MOST) -> DataFrame:
+    """(item_id, s, e, src): one span for each place, and the first ``most`` of an item."""
+    return first_of_item(one_a_place(spans), most)
 
 
 def decide(probabilities: Column, choice: Column, thresholds: dict[str, float], base: float, none: str = "not-confidential", rule: str = "argmax") -> Column:

@@ -44,11 +44,19 @@ def grounded_counts(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     return quotes.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_docs"))
 
 
+def squeezed(text: Column) -> Column:
+    """Runs of white space as one space, none at the ends."""
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def quote_reason(quote: Column, found: Column) -> Column:
+    """The reason for which a squeezed quote is rejected, or null."""
+    return F.when(F.length(quote) == 0, "empty-quote").when(F.length(quote) < LEAST_QUOTE, "short-quote").when(~found, "not-found")
+
+
 def ground_quote(quote: Column, document: Column) -> Column:
     """The reason for which a quote is rejected, or null."""
-    squeeze = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    q = squeeze(quote)
-    return F.when(F.length(q) == 0, "empty-quote").when(F.length(q) < LEAST_QUOTE, "short-quote").when(~F.contains(squeeze(document), q), "not-found")
+    return quote_reason(squeezed(quote), F.contains(squeezed(document), squeezed(quote)))
 
 
 def ground_providers(mentions: DataFrame, key: str, aliases: DataFrame) -> DataFrame:

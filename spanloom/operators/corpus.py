@@ -94,35 +94,61 @@ def certify(sweeps: DataFrame, items: DataFrame) -> DataFrame:
     return items.join(hit, "item_id", "left").select("item_id", status.alias("status"))
 
 
-def grams_of(rows: DataFrame, key: str, n: int = GRAM) -> DataFrame:
-    """(key, gram, pos) of the token runs of a text."""
-    t = rows.select(key, scalars.tokens(F.col("text")).alias("t")).where(F.size("t") >= n)
-    return t.select(key, F.posexplode(F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.array_join(F.slice("t", i, n), " "))).alias("pos", "gram"))
+#: Grams of examples that are sent to every task at most; more are met by a shuffle on the gram.
+MOST_GRAMS = 2_000_000
+
+
+def gram_at(words: Column, at: Column, n: Column | int) -> Column:
+    """A run of n tokens as 96 bits of digest: its text is as long as eight words and never needed."""
+    run = F.slice(words, at, F.lit(n) if isinstance(n, int) else n)
+    return F.struct(F.xxhash64(run).alias("h"), F.hash(run).alias("g"))
+
+
+def gram_length(words: Column, n: int = GRAM) -> Column:
+    """The length at which an example is matched: ``n``, its own if it is shorter, null under LEAST_TOKENS."""
+    return F.when(F.size(words) >= LEAST_TOKENS, F.least(F.lit(n), F.size(words)))
+
+
+def _few(examples: DataFrame) -> DataFrame:
+    """Marks the grams of the examples for broadcast if their number allows."""
+    return F.broadcast(examples) if examples.limit(MOST_GRAMS + 1).count() <= MOST_GRAMS else examples
 
 
 def contamination(items: DataFrame, examples: DataFrame, n: int = GRAM) -> DataFrame:
-    """(item_id, example_id, shared, share): distinct grams shared, and their share of the smaller set, by an inverted
-    index on grams; an example's grams are few, so the items' grams meet them before anything is counted."""
-    a = grams_of(items, "item_id", n).select("item_id", "gram").distinct()
-    b = grams_of(examples, "example_id", n).select("example_id", "gram").distinct()
-    pairs = a.join(b, "gram").groupBy("item_id", "example_id").agg(F.count("*").alias("shared"))
-    na = a.join(pairs.select("item_id").distinct(), "item_id", "left_semi").groupBy("item_id").agg(F.count("*").alias("na"))
-    nb = b.groupBy("example_id").agg(F.count("*").alias("nb"))
-    j = pairs.join(na, "item_id").join(nb, "example_id")
-    return j.select("item_id", "example_id", "shared", (F.col("shared") / F.least("na", "nb")).alias("share"))
+    """(item_id, example_id, shared, share): distinct grams shared, and their share of the smaller set. An example of
+    fewer than n tokens is matched at its own length, one of fewer than LEAST_TOKENS not at all.
+
+    Items' grams are made distinct within their row and meet those of the examples at once; only matches are shuffled.
+    Lengths other than n are looked at only where an example has them."""
+    all_of = lambda t, k: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(t) - k + 1), lambda i: gram_at(t, i, k)))
+    e = examples.select("example_id", scalars.tokens(F.col("text")).alias("t")).withColumn("n", gram_length(F.col("t"), n)).where("n is not null").select("example_id", "n", all_of(F.col("t"), F.col("n")).alias("grams"))
+    b = e.select("example_id", "n", F.size("grams").alias("nb"), F.explode("grams").alias("gram"))
+    lengths = sorted(r[0] for r in b.select("n").distinct().collect())  # n at most
+    t = F.col("t")
+    cut = [F.when(F.size(t) >= k, F.struct(F.lit(k).alias("n"), all_of(t, k).alias("grams"))) for k in lengths]
+    none = F.array().cast("array<struct<n:int,grams:array<struct<h:bigint,g:int>>>>")
+    words = items.select("item_id", scalars.tokens(F.col("text")).alias("t"))
+    a = words.select("item_id", F.explode(F.filter(F.concat(none, F.array(*cut)) if cut else none, lambda x: x.isNotNull())).alias("x"))
+    a = a.select("item_id", "x.n", F.size("x.grams").alias("na"), F.explode("x.grams").alias("gram"))
+    met = a.join(_few(b), ["n", "gram"]).groupBy("item_id", "example_id").agg(F.count("*").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    return met.select("item_id", "example_id", "shared", (F.col("shared") / F.least("na", "nb")).alias("share"))
 
 
 def longest_runs(items: DataFrame, examples: DataFrame, most: int = LONGEST) -> DataFrame:
     """(item_id, run, pos, example_id): the longest token run, of at most ``most``, that an item shares with an example;
     the first place, then the first example, on ties. Positions of equal tokens on one diagonal are islands."""
-    tok = lambda df, key: df.select(key, F.posexplode(scalars.tokens(F.col("text"))).alias("pos", "tok"))
+
     # seeds of three tokens keep frequent words from meeting everything
-    a, b = grams_of(items, "item_id", 3), grams_of(examples, "example_id", 3).withColumnRenamed("pos", "epos")
-    seeds = a.join(b, "gram").select("item_id", "example_id", "pos", (F.col("pos") - F.col("epos")).alias("diagonal"))
+    def seeds_of(rows: DataFrame, key: str, at: str) -> DataFrame:
+        t = rows.select(key, scalars.tokens(F.col("text")).alias("t")).where(F.size("t") >= LEAST_TOKENS)
+        return t.select(key, F.posexplode(F.transform(F.sequence(F.lit(1), F.size("t") - LEAST_TOKENS + 1), lambda i: gram_at(F.col("t"), i, LEAST_TOKENS))).alias(at, "gram"))
+
+    seeds = seeds_of(items, "item_id", "pos").join(_few(seeds_of(examples, "example_id", "epos")), "gram").select("item_id", "example_id", "pos", (F.col("pos") - F.col("epos")).alias("diagonal"))
     w = Window.partitionBy("item_id", "example_id", "diagonal").orderBy("pos")
-    runs = seeds.withColumn("island", F.col("pos") - F.row_number().over(w)).groupBy("item_id", "example_id", "diagonal", "island").agg(F.min("pos").alias("pos"), (F.count("*") + 2).alias("run"))
-    best = Window.partitionBy("item_id").orderBy(F.desc("run"), "pos", "example_id")
-    return runs.withColumn("run", F.least("run", F.lit(most))).withColumn("r", F.row_number().over(best)).where("r = 1").select("item_id", F.col("run").cast("long").alias("run"), F.col("pos").cast("long").alias("pos"), "example_id")
+    runs = seeds.withColumn("island", F.col("pos") - F.row_number().over(w)).groupBy("item_id", "example_id", "diagonal", "island").agg(F.min("pos").alias("pos"), (F.count("*") + LEAST_TOKENS - 1).alias("run"))
+    run = F.least("run", F.lit(most))
+    best = runs.select("item_id", F.struct(-run, F.col("pos"), F.col("example_id")).alias("x")).groupBy("item_id").agg(F.min("x").alias("x"))
+    return best.select("item_id", (-F.col("x")["col1"]).cast("long").alias("run"), F.col("x")["pos"].cast("long").alias("pos"), F.col("x")["example_id"].alias("example_id"))
 
 
 def stratified_split(items: DataFrame, stratum: str, key: str, fraction: float = 0.2, seed: int = 0) -> DataFrame:

@@ -170,16 +170,34 @@ def keep_first(spark, d):
     return spans(spark, d).withColumn("r", F.row_number().over(w)).where("r = 1").select("item_id", "line", "f_start", "f_end")
 
 
-for _n in ("P20_candidate_spans", "U04_candidate_dedupe", "O03_candidate_limit"):
+PLACES = f"(SELECT item_id, f_start AS s, f_end AS e, 0 AS src FROM ({SPAN_PAIRS}) AS a UNION ALL SELECT item_id, g_start, g_end, 1 FROM ({SPAN_PAIRS}) AS b)"
+ONE_A_PLACE = f"(SELECT item_id, s, e, min(src) AS src FROM {PLACES} AS u GROUP BY item_id, s, e)"
 
-    @query(_n, f"""SELECT item_id, s, e, src FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s, e) AS place FROM (SELECT *, row_number() OVER (PARTITION BY item_id, s, e ORDER BY src) AS r FROM (
-      SELECT item_id, f_start AS s, f_end AS e, 0 AS src FROM ({SPAN_PAIRS}) AS a UNION ALL SELECT item_id, g_start, g_end, 1 FROM ({SPAN_PAIRS}) AS b) AS u) AS x WHERE r = 1) AS y WHERE place <= 4""")
-    def candidates(spark, d):
-        from ..operators.candidates import candidate_spans
 
-        s = spans(spark, d)
-        u = s.select("item_id", F.col("f_start").alias("s"), F.col("f_end").alias("e"), F.lit(0).alias("src")).unionByName(s.select("item_id", F.col("g_start").alias("s"), F.col("g_end").alias("e"), F.lit(1).alias("src")))
-        return candidate_spans(u, 4)
+def places(spark, d):
+    s = spans(spark, d)
+    return s.select("item_id", F.col("f_start").alias("s"), F.col("f_end").alias("e"), F.lit(0).alias("src")).unionByName(s.select("item_id", F.col("g_start").alias("s"), F.col("g_end").alias("e"), F.lit(1).alias("src")))
+
+
+@query("P20_candidate_spans", f"SELECT item_id, s, e, src FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s, e, src) AS place FROM {ONE_A_PLACE} AS x) AS y WHERE place <= 24")
+def candidates(spark, d):
+    from ..operators.candidates import candidate_spans
+
+    return candidate_spans(places(spark, d))
+
+
+@query("U04_candidate_dedupe", f"SELECT item_id, s, e, src FROM {ONE_A_PLACE} AS x")
+def candidate_dedupe(spark, d):
+    from ..operators.candidates import one_a_place
+
+    return one_a_place(places(spark, d))
+
+
+@query("O03_candidate_limit", f"SELECT item_id, s, e, src FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s, e, src) AS place FROM {PLACES} AS x) AS y WHERE place <= 24")
+def candidate_limit(spark, d):
+    from ..operators.candidates import first_of_item
+
+    return first_of_item(places(spark, d))
 
 
 @query("W08_top_n_per_item", f"SELECT item_id, line, f_start FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY f_start, line) AS r, count(*) FILTER (WHERE g_type = 'F') OVER (PARTITION BY item_id) AS n_gold FROM ({SPAN_PAIRS}) AS s) AS x WHERE r <= n_gold")
