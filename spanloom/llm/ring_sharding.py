@@ -5,11 +5,15 @@ the arc's points, taken clockwise, name the shards it may go to, nearest first.
 row that finds a shard full continues clockwise. With the tight bound used here (total / shards, rounded up for the
 first ``total % shards`` shards and down for the others) counts are at most one apart.
 
-The ring is cut into equal cells, about 2,000 rows each; rows of one cell start from the cell's place and so see the
-same sequence of shards. The walk is then decided on one count a cell, and only ids and hashes are shuffled, never texts.
-
-Nulls, repeats, ties: a null key hashes like the text "null"; equal keys are told apart by size and checksum of their
-text, and rows equal in all three are interchangeable. An empty table gives an empty result.
+The ring is cut into CELLS equal cells, whatever the size of the table; rows of one cell start from the cell's place and
+so see the same sequence of shards. The walk is then decided on one count a cell, so the driver's part has a fixed size,
+and only ids and hashes are shuffled, never texts. Equal rows are counted before they are shuffled and dealt out again
+at the end, a stretch of copies a task; a cell with many different rows (one repeated key, say) is dealt into parts by a
+hash of the whole row, and each part is ranked on its own. No task grows with a hot key or with copies of a row.
+
+Nulls, repeats, ties: a null key hashes like the text "null"; equal keys are told apart by the other columns, and rows
+equal in all columns are interchangeable. A text's length does not matter: texts are read once and not moved. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,19 +23,16 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import cut, table
 
 SHARDS = 8
 VNODES = 64
-#: Cells of the ring: at least 2 ** 12, and as many as keep about CELL_ROWS rows in each.
-LEAST_BITS, CELL_ROWS = 12, 2000
-
-
-def cell_bits(rows: int) -> int:
-    return max(LEAST_BITS, (rows // CELL_ROWS).bit_length())
+#: Cells of the ring are 2 to this power.
+BITS = 14
+#: Different rows that are ranked in one part of a cell; copies of a row that are dealt out in one piece.
+PART_ROWS, COPIES = 50_000, 100_000
 
 
 def ring(shards: int, vnodes: int = VNODES) -> list[tuple[int, int]]:
@@ -81,32 +82,38 @@ def walk(cells: list[tuple[int, int, int]], shards: int, vnodes: int = VNODES) -
     return out
 
 
-def shard_rows(rows: DataFrame, key: str, shards: int = SHARDS, vnodes: int = VNODES, tie: tuple[str, ...] = ()) -> DataFrame:
-    """Adds shard int and slot long (gapless from 0 in each shard) to ``rows``, which must not have these columns."""
-    spark = rows.sparkSession
-    bits = cell_bits(rows.count())
+def shard_rows(rows: DataFrame, key: str, shards: int = SHARDS, vnodes: int = VNODES) -> DataFrame:
+    """Adds shard int and slot long (gapless from 0 in each shard) to ``rows``, which must not have these columns. Rows
+    with equal columns are interchangeable."""
+    spark, columns = rows.sparkSession, rows.columns
     place = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("null"))), 1)
-    placed = cut(rows.withColumn("__place", place).withColumn("__cell", F.shiftrightunsigned("__place", 63 - bits)), "ring")
-    counts = placed.groupBy("__cell").count().orderBy("__cell").collect()  # one small row a cell
-    cells = [(c, c << (63 - bits), n) for c, n in counts]
-    plan = walk(cells, shards, vnodes)
-    schema = T.StructType([T.StructField(x, T.LongType()) for x in ("__cell", "__shard", "__from", "__to", "__slot")])
-    slices = spark.createDataFrame(plan, schema).groupBy("__cell").agg(F.sort_array(F.collect_list(F.struct("__from", "__to", "__shard", "__slot"))).alias("__plan"))
-    rank = (F.row_number().over(Window.partitionBy("__cell").orderBy("__place", key, *tie)) - 1).cast("long")
-    own = F.filter("__plan", lambda p: (p["__from"] <= F.col("__rank")) & (F.col("__rank") < p["__to"]))[0]
-    return (
-        placed.withColumn("__rank", rank)
-        .join(slices, "__cell")
-        .withColumn("__own", own)
-        .withColumn("shard", F.col("__own.__shard").cast("int"))
-        .withColumn("slot", F.col("__own.__slot") + F.col("__rank") - F.col("__own.__from"))
-        .drop("__place", "__cell", "__rank", "__plan", "__own")
-    )
+    placed = cut(rows.groupBy(*columns).agg(F.count("*").alias("__copies")).withColumn("__place", place).withColumn("__cell", F.shiftrightunsigned("__place", 63 - BITS)), "ring")
+    counts = placed.groupBy("__cell").agg(F.sum("__copies"), F.count("*")).orderBy("__cell").collect()  # 2 ** BITS rows at most
+    plan = walk([(c, c << (63 - BITS), n) for c, n, _ in counts], shards, vnodes)
+    by_cell: dict[int, list] = {c: [] for c, _, _ in counts}
+    for c, shard, start, end, slot in plan:
+        by_cell[c].append((start, end, shard, slot))
+    slices = spark.createDataFrame([(c, -(-different // PART_ROWS), by_cell[c]) for c, _, different in counts], SLICES)
+    own_hash = F.xxhash64("__place", *columns)
+    dealt = placed.join(F.broadcast(slices), "__cell").withColumn("__part", F.pmod(own_hash, F.col("__parts")).cast("int"))  # 2 ** BITS rows at most
+    sizes = dealt.where("__parts > 1").groupBy("__cell", "__part").agg(F.sum("__copies").alias("__n"))
+    before = sizes.select("__cell", "__part", (F.sum("__n").over(Window.partitionBy("__cell").orderBy("__part")) - F.col("__n")).alias("__before"))
+    upto = F.sum("__copies").over(Window.partitionBy("__cell", "__part").orderBy("__place", *columns))
+    ranked = dealt.withColumn("__rank", upto - F.col("__copies")).join(before, ["__cell", "__part"], "left").withColumn("__rank", F.col("__rank") + F.coalesce("__before", F.lit(0)))
+    piece = F.explode(F.sequence(F.lit(0), F.expr(f"cast((__copies - 1) div {COPIES} as int)")))
+    few, many = ranked.where(F.col("__copies") <= COPIES).withColumn("__piece", F.lit(0)), ranked.where(F.col("__copies") > COPIES).withColumn("__piece", piece).repartition("__place", "__piece")
+    first = F.col("__piece").cast("long") * COPIES
+    each = few.unionByName(many).withColumn("__copy", F.explode(F.sequence(first, F.least(first + COPIES, "__copies") - 1)))
+    own = F.filter("__plan", lambda p: (p["from"] <= F.col("__rank")) & (F.col("__rank") < p["to"]))[0]
+    each = each.withColumn("__rank", F.col("__rank") + F.col("__copy")).withColumn("__own", own)
+    return each.select(*columns, F.col("__own.shard").cast("int").alias("shard"), (F.col("__own.slot") + F.col("__rank") - F.col("__own.from")).cast("long").alias("slot"))
+
+
+SLICES = "__cell long, __parts int, __plan array<struct<from: long, to: long, shard: long, slot: long>>"
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: all documents in shards 0 to 7; the law is ``rows``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"))
-    out = shard_rows(rows, "doc_id", tie=("text_crc32", "size"))
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return shard_rows(rows, "doc_id").select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
