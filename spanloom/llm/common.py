@@ -167,6 +167,32 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return mix(sums ^ (lengths.astype(np.uint64) << _U(48))), np.searchsorted(bounds, starts, side="right")
 
 
+# ---------------------------------------------------------------- joins with hot keys
+
+#: A key is hot if it holds more than one in so many of the rows; so there are fewer hot keys than this.
+HOT = 1000
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame | None = None, rows: int | None = None) -> DataFrame:
+    """left join of ``right``, which has one row a key (a long, a string or bytes). Rows of a hot key meet theirs by broadcast, wherever they are;
+    only the others are shuffled by key, and no task gets a whole hot key.
+
+    ``left`` is read twice, so it should be a written table. counts (key, n) and the number of rows may be given."""
+    counts = counts if counts is not None else left.groupBy(key).agg(F.count("*").alias("n"))
+    rows = rows if rows is not None else left.count()
+    added = [c for c in right.columns if c != key]
+    hot = right.join(counts.where(F.col("n") * HOT > rows).select(key), key, "left_semi")  # fewer than HOT rows
+    warm = hot.select(key, F.struct(*added).alias("__hot"))
+    # rows that have met theirs, or have no key, are spread over all tasks by a key whose row is not taken
+    kind, spread = dict(left.dtypes)[key], F.xxhash64(*left.columns)
+    spread = spread if kind == "bigint" else spread.cast("string").cast(kind)
+    asks = F.col("__hot").isNull() & F.col(key).isNotNull()
+    met = left.join(F.broadcast(warm), key, "left").withColumn("__asks", asks).withColumn("__key", F.when(F.col("__asks"), F.col(key)).otherwise(spread))
+    cold = right.select(F.col(key).alias("__key"), F.struct(*added).alias("__cold"))
+    both = met.join(cold, "__key", "left").withColumn("__row", F.when(F.col("__asks"), F.col("__cold")).otherwise(F.col("__hot")))
+    return both.select(*left.columns, *[F.col(f"__row.{c}").alias(c) for c in added])
+
+
 # ---------------------------------------------------------------- connected components
 
 
@@ -175,18 +201,19 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     edges (a, b): links between longs. Returns (node, component) for every node in a link, component being the
     smallest node reachable. Each round is a constant number of shuffles over a linear number of rows and is written
-    to the shared folder; nothing is collected but a two-number summary of each round.
+    to the shared folder; nothing is collected but a two-number summary of each round. The links of a node in the middle
+    of a large star are not brought into one task: such nodes are few, and their least neighbour is broadcast.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = cut(e, "links")
-    said = None
+    said = e.agg(F.count("*"), F.lit(None)).first()
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        large = hot_join(both.where("b > a"), low.select("a", "m"), "a", low.select("a", "n"), 2 * said[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = (
-            large.join(low, "a")
+            hot_join(large, low.select("a", "m"), "a", low.select("a", "n"), said[0])
             .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x"))
             .select("x.a", "x.b")
             .where("a <> b")

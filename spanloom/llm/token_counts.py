@@ -4,7 +4,8 @@ A document's content is normalised in a way that the tokenizer cannot tell (runs
 space) and digested; the cache is a parquet table of (tokenizer digest, content digest, count) in the shared folder.
 Documents join the cache on both digests; only texts whose digest is missing are encoded, each distinct one once, and
 their counts are appended before the counts are read back. A cache written twice for one digest (two jobs at once) is
-harmless: both hold the same count.
+harmless: both hold the same count. A content that very many documents share is not brought into one task: copies meet
+in their map tasks before they are shuffled, and the count of such a content is broadcast to its documents.
 
 Null text counts as empty (0 tokens); repeated rows stay; an empty table gives an empty result; further columns of the
 input are not read. Texts are encoded whole.
@@ -17,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _made, map_batches, shared_dir, table, text_frame
+from .common import _made, cut, hot_join, map_batches, shared_dir, table, text_frame
 from .wordtokens import tokens_for, version, vocabulary_path
 
 LIMIT = 2048
@@ -59,8 +60,8 @@ def count_tokens(docs: DataFrame, cache: str, path: str | None = None) -> DataFr
         }
 
     map_batches(missing, encode, CACHE).write.mode("append").parquet(cache)
-    keyed = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
-    return keyed.join(read_cache(spark, cache, tokenizer), "digest").select("doc_id", "n_bytes", "n_tokens")
+    keyed = cut(rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"), "digests")
+    return hot_join(keyed, read_cache(spark, cache, tokenizer), "digest").select("doc_id", "n_bytes", "n_tokens")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
