@@ -3,19 +3,22 @@
 An anchor is a word of ANTECEDENTS, a word whose hash falls into one of ANCHOR_ONE_IN classes (so that texts in other
 languages have anchors too) or the head of the text. The CHAIN next content words after an anchor, whatever common
 words lie between, make a signature together with it. A fingerprint is the set of a text's signatures, written as
-base64 of its sorted 32-bit hashes; two fingerprints are compared by the Jaccard coefficient of their sets. For
-near-duplicates sets are partitioned by length: only sets whose lengths allow the threshold meet, and a comparison
-stops as soon as the remaining signatures cannot reach it.
+base64 of its sorted 32-bit hashes; two fingerprints are compared by the Jaccard coefficient of their sets. Sets are
+partitioned by length into bands, and only sets of one band or of neighbouring ones are compared at all: farther apart,
+the shorter set is too small a part of the longer one. A comparison goes through the sets a stretch at a time and stops
+as soon as what is left cannot reach the threshold (LEAST for a text against its edited text and the next one, where
+less counts as no likeness; 0.8 for near-duplicates).
 
 Null counts as empty; texts without words have the empty fingerprint, whose likeness to another empty one is 1 and to
-any other 0. Equal texts have equal fingerprints. Rows with one id are ordered by text; an empty table gives an empty
-result. Further columns are not read.
+any other 0. Equal texts have equal fingerprints. Rows with one id are ordered by text; texts are read whole, in memory
+linear in one text; an empty table gives an empty result. Further columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -27,6 +30,8 @@ from pyspark.sql.window import Window
 from .common import LOWER, chunks, cut, map_batches, mix, powers, table, text_frame, texts_of
 
 CHAIN, ANCHOR_ONE_IN = 2, 12
+#: Likeness below this counts as none; signatures that are compared before the bound is looked at again.
+LEAST, STRETCH = 0.05, 256
 #: Texts of fewer words have a signature for each word as well: a single chain would say too little about them.
 SHORT = 16
 
@@ -102,17 +107,28 @@ def read(fingerprint: str) -> np.ndarray:
     return np.frombuffer(base64.b64decode(fingerprint), dtype="<u4")
 
 
-def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
-    """Jaccard of two sorted sets; 0 as soon as their lengths rule ``least`` out."""
+def band(n: int, least: float) -> int:
+    """The length partition of a set of n signatures: sets that reach ``least`` lie in one band or in neighbours."""
+    return int(math.floor(math.log(n) / math.log(1 / least) + 1e-9))
+
+
+def likeness(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> float:
+    """Jaccard of two sorted sets of distinct signatures; 0 if it is below ``least``."""
     if len(a) > len(b):
         a, b = b, a
     if not len(a):
         return 1.0 if not len(b) else 0.0
-    if len(a) < least * len(b):
+    if band(len(b), least) - band(len(a), least) > 1 or len(a) < least * len(b):
         return 0.0
-    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-    same = int(np.count_nonzero(b[at] == a))
-    return same / (len(a) + len(b) - same)
+    total, same = len(a) + len(b), 0
+    for at in range(0, len(a), STRETCH):
+        part = a[at : at + STRETCH]
+        same += int(np.count_nonzero(b[np.minimum(np.searchsorted(b, part), len(b) - 1)] == part))
+        most = same + len(a) - at - len(part)  # if all that is left were shared
+        if most < least * (total - most):
+            return 0.0
+    found = same / (total - same)
+    return found if found >= least else 0.0
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -198,7 +214,7 @@ def _run_of(ids: list, texts: list[str]) -> dict:
 def against_next(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness to it and to the next text by descending id.
 
-    Ids are cut into ranges at quantiles, read from the id column alone. Texts are dealt once, by range, and the head of
+    Ids are cut into ranges at quantiles, read from the id column alone. Texts are dealt once, a range a task, and the head of
     each range is dealt to the range before it as well, so a task that walks its range in order has all it needs."""
     spark = docs.sparkSession
     low = -(1 << 63)
@@ -220,7 +236,7 @@ def against_next(docs: DataFrame) -> DataFrame:
     guest = F.create_map(*[F.lit(x).cast("long") for kv in before.items() for x in kv])[F.col("id")] if len(before) < 200 else _lookup(before)(F.col("id"))
     place = F.struct(part_of("id").alias("part"), F.lit(0).alias("guest"))
     placed = rows.withColumn("guest_of", guest).withColumn("at", F.explode(F.filter(F.array(place, F.when(F.col("guest_of").isNotNull(), F.struct(F.col("guest_of").cast("int").alias("part"), F.lit(1).alias("guest")))), lambda x: x.isNotNull())))
-    dealt = placed.select(F.col("at.part").alias("part"), F.col("at.guest").alias("guest"), "id", "doc_id", "text").repartition(parts, "part").sortWithinPartitions("part", "guest", F.desc("id"), "text")
+    dealt = placed.select(F.col("at.part").alias("part"), F.col("at.guest").alias("guest"), "id", "doc_id", "text").repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", "guest", F.desc("id"), "text")
 
     def walk(batches):
         part, last, ended = None, None, False
