@@ -1,22 +1,28 @@
 """Near-duplicate embeddings by a robust-pruned flat graph.
 
 Identical vectors form one class; the rest works on one vector a class. Centroids from a bounded sample cut the space
-into cluster shards; a vector belongs to its OVERLAP nearest shards, and a large shard is dealt into blocks of about
-BLOCK vectors, so that no task grows with the table or with one crowded place. On every block a flat graph is built:
-each vector's nearest candidates are pruned so that no kept neighbour is better reached through another one, edges are
-made mutual, and the medoid is tied in. The adjacency lists of all blocks are united by vector. A search starts at the
-block's medoid, walks greedily with a beam, and once it is in range expands over everything within range (with some
-slack, to step over gaps). Each vector searches every block of its shards, so a pair in one shard is met whichever
-blocks it is in. What is found is verified by exact cosines in double precision, so no link is below the threshold.
+into cluster shards, and a vector belongs to its OVERLAP nearest shards. A shard that is still large is cut again by
+centroids of its own, from a bounded sample of its members, so shards stay small at every size of the table; only a
+place so crowded that no centroids divide it stays whole, and it is dealt into blocks of about BLOCK vectors, so that no
+task grows with it (its vectors are near copies, whose links have to be counted one by one). On every block a flat graph
+is built: each vector's nearest candidates are pruned so that no kept neighbour is better reached through another one,
+edges are made mutual, and the medoid is tied in. The adjacency lists of all blocks are united by vector. A search
+starts at the block's medoid, walks greedily with a beam, and once it is in range expands over everything within range
+(with some slack, to step over gaps). Each vector searches every block of its shards, so a pair in one shard is met
+whichever blocks it is in. What is found is verified by exact cosines in double precision, so no link is below the
+threshold.
 
 Links are counted where they are found (a pair belongs to the least shard that both are in) and components get a
 spanning forest a task, so dense groups do not write all their pairs. Recall is audited by exact cosines of a bounded
-sample against all vectors, in blocks; with less than LEAST_RECALL the search is repeated with a wider beam and more
-overlap.
+random sample against all vectors, in blocks, as the mean over the sampled vectors that have links. Below LEAST_RECALL
+the search is repeated with twice the overlap and the beam; this goes on until recall suffices or the overlap
+takes in every shard; then all vectors are one shard and every search walks whole blocks, which is the exact comparison
+of all with all.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing and are their own component;
 vectors of different lengths never meet. Rows with equal vec_id are compared like any other; an empty table gives an
-empty result; labels and further columns are not read.
+empty result; labels and further columns are not read. There are no ties: links are pairs at or above the threshold, and a
+component is named by its least vec_id.
 """
 
 from __future__ import annotations
@@ -29,17 +35,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, table
+from .common import components, cut, hot_join, table
 
 THRESHOLD = 0.9
-#: Vectors of the sample for centroids, vectors to a centroid, centroids at most, shards a vector belongs to.
-SAMPLE, PER_CENTROID, CENTROIDS, OVERLAP = 8000, 1500, 2048, 3
+#: Vectors of a sample for centroids, vectors to a centroid, centroids of one cut at most, shards a vector belongs to.
+SAMPLE, PER_CENTROID, CENTROIDS, OVERLAP = 8000, 1500, 512, 3
+#: A shard of more vectors than this is cut again, into parts of which a vector belongs to PART_OVERLAP, CUTS times.
+LARGE, PART_OVERLAP, CUTS = 6000, 2, 3
 #: Vectors in a block; neighbours kept, candidates looked at, slack of the pruning; beam of the search.
 BLOCK, DEGREE, CANDIDATES, ALPHA, BEAM = 1500, 20, 60, 1.2, 24
 #: How far below the threshold a vector may lie to be walked over while a range is expanded.
 SLACK = 0.06
 #: Audited vectors, and the recall at which the search is widened.
-AUDIT, LEAST_RECALL = 200, 0.97
+AUDIT, LEAST_RECALL = 1000, 0.97
 
 
 # ---------------------------------------------------------------- one block's graph
@@ -202,7 +210,7 @@ def _assigned(classes: DataFrame, centres: dict[int, np.ndarray], overlap: int)
                     sims = np.frombuffer(b"".join([raw[at + i] for i in pick]), dtype=np.float64).reshape(len(pick), w) @ c.T
                     top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
                     for i, t in zip(pick, top, strict=True):
-                        block[i] = sorted(w * CENTROIDS + int(x) for x in t)
+                        block[i] = sorted(w * CENTROIDS + int(x) for x in t)  # a number a width and centroid
                 out += block
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "copies", "v")], pa.array(out, pa.list_(pa.int64()))], ["node", "copies", "v", "shards"])
 
@@ -292,12 +300,10 @@ def _found(members: DataFrame, adjacency: DataFrame, threshold: float, beam: int
 
 
 def _audit(classes: DataFrame, found: DataFrame, threshold: float) -> float:
-    """Recall of n_links for a bounded sample of vectors, by exact cosines against all."""
+    """Mean recall of n_links over the linked vectors of a bounded random sample, by exact cosines against all."""
     picked = classes.orderBy(F.xxhash64("node", F.lit(3))).select("node", "v", "width").limit(AUDIT)
-    # half of the audit looks where links were found, the other half anywhere
     linked = found.where("role = 'links'").groupBy("a").agg(F.sum("b").alias("n"))
-    some = linked.orderBy(F.xxhash64("a", F.lit(4))).limit(AUDIT).select(F.col("a").alias("node")).join(classes, "node").select("node", "v", "width")
-    asked = {r[0]: (r[1], r[2]) for r in picked.unionByName(some).collect()}  # 2 x AUDIT vectors at most
+    asked = {r[0]: (r[1], r[2]) for r in picked.collect()}  # AUDIT vectors at most
     if not asked:
         return 1.0
     by_width: dict[int, tuple[list[int], np.ndarray]] = {}
@@ -321,30 +327,84 @@ def _audit(classes: DataFrame, found: DataFrame, threshold: float) -> float:
 
     truth = classes.select("v", "width", "copies").mapInArrow(work, "a long, true long").groupBy("a").agg(F.sum("true").alias("true"))
     own = classes.select(F.col("node").alias("a"), "copies")
-    r = truth.join(own, "a").join(linked, "a", "left").agg(F.sum(F.col("true") - F.col("copies")), F.sum(F.coalesce("n", F.lit(0)))).first()
-    return 1.0 if not r[0] else r[1] / r[0]
+    true = F.col("true") - F.col("copies")
+    r = truth.join(own, "a").join(linked, "a", "left").where(true > 0).agg(F.avg(F.coalesce("n", F.lit(0)) / true)).first()
+    return 1.0 if r[0] is None else float(r[0])
+
+
+def _cut_again(spread: DataFrame) -> tuple[DataFrame, bool]:
+    """``spread`` (node, copies, v, shards) with large shards replaced by parts, and whether there were any.
+
+    A shard's own centroids come from a bounded sample of its members; every member goes to the nearest few. Members are
+    dealt into chunks, and each chunk meets the centroids of its shard."""
+    members = spread.select("node", "v", F.explode("shards").alias("shard"))
+    sizes = members.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > LARGE)
+    sizes = cut(sizes, "large")
+    if not sizes.limit(1).count():
+        return spread, False
+    # few shards are large while the table is small, and none has less than LARGE vectors: a join by shard, dealt into chunks
+    inside = members.join(F.broadcast(sizes) if sizes.count() < 10_000 else sizes, "shard").withColumn("chunk", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / LARGE)).cast("int"))
+    inside = cut(inside, "inside")
+    chosen = inside.where(F.pmod(F.xxhash64("node", F.lit(7)), F.col("n")) < SAMPLE // 2)
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("node", ignore_index=True)
+        n = int(frame["n"].iat[0])
+        c = centroids_of(_matrix(frame["v"]), min(CENTROIDS, len(frame), -(-n // PER_CENTROID)))
+        return pd.DataFrame({"shard": int(frame["shard"].iat[0]), "chunks": -(-n // LARGE), "centres": [c.tobytes()], "k": len(c)})
+
+    centres = chosen.groupBy("shard").applyInPandas(fit, "shard long, chunks int, centres binary, k int").where("k > 1")
+    dealt = centres.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+
+    def place(own: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        shard = own["shard"].to_numpy()
+        if not len(own) or not len(c):  # nothing divides this shard
+            return pd.DataFrame({"node": own["node"], "shard": shard, "part": shard})
+        v = _matrix(own["v"])
+        centre = np.frombuffer(c["centres"].iat[0], dtype=np.float64).reshape(-1, v.shape[1])
+        k = min(PART_OVERLAP, len(centre))
+        top = np.argpartition(-(v @ centre.T), k - 1, axis=1)[:, :k]
+        # parts are numbered by a hash of shard and centroid: two with one number are one shard, which is harmless
+        name = (shard.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + top.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)).view(np.int64)
+        return pd.DataFrame({"node": np.repeat(own["node"].to_numpy(), k), "shard": np.repeat(shard, k), "part": name.ravel()})
+
+    parts = inside.groupBy("shard", "chunk").cogroup(dealt.groupBy("shard", "chunk")).applyInPandas(place, "node long, shard long, part long")
+    parts = parts.groupBy("node").agg(F.collect_set("shard").alias("gone"), F.collect_set("part").alias("parts"))
+    out = spread.join(parts, "node", "left")
+    kept = F.when(F.col("parts").isNull(), F.col("shards")).otherwise(F.array_sort(F.array_union(F.array_except("shards", "gone"), "parts")))
+    return cut(out.select("node", "copies", "v", kept.alias("shards")), "assigned"), True
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, overlap: int = OVERLAP, beam: int = BEAM) -> tuple[DataFrame, float]:
     """((vec_id, n_links, component_id) for every row, audited recall)."""
-    spark = vectors.sparkSession
     rows, classes = _classes(vectors)
     sizes = {r[0]: r[1] for r in classes.groupBy("width").count().collect()}
     centres = {}
     for w, n in sizes.items():
         sample = classes.where(F.col("width") == w).orderBy(F.xxhash64("node")).select("v").limit(SAMPLE)
         centres[w] = centroids_of(_matrix([bytes(r[0]) for r in sample.collect()]), min(CENTROIDS, -(-n // PER_CENTROID)))
-    found, recall = None, 1.0
-    for attempt in range(3):
-        spread = cut(_assigned(classes, centres, overlap + attempt), "assigned")
-        members = spread.withColumn("shard", F.explode("shards"))
-        counts = members.groupBy("shard").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).cast("int").alias("n_blocks"))
-        members = members.join(F.broadcast(counts), "shard").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))  # one small row a shard, CENTROIDS a width at most
+    most = max((len(c) for c in centres.values()), default=1)
+    exact = False
+    while True:
+        spread = cut(_assigned(classes, centres, overlap), "assigned")
+        for _ in range(0 if exact else CUTS):
+            spread, again = _cut_again(spread)
+            if not again:
+                break
+        members = cut(spread.withColumn("shard", F.explode("shards")), "members")
+        counts = members.groupBy("shard").agg(F.count("*").alias("n"))
+        members = hot_join(members, counts.select("shard", F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int").alias("n_blocks")), "shard", counts)
+        members = cut(members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")), "members")
         adjacency = cut(_adjacency(members.select("shard", "block", "node", "v")), "adjacency")
-        found = cut(_found(members, adjacency, threshold, beam * (1 + attempt)), "found")
+        found = cut(_found(members, adjacency, threshold, beam), "found")
         recall = _audit(classes, found, threshold)
-        if recall >= LEAST_RECALL:
+        if recall >= LEAST_RECALL or exact:
             break
+        exact = overlap >= most
+        if exact:  # one shard of all, and searches that walk whole blocks
+            centres, overlap, beam = {w: c[:1] for w, c in centres.items()}, 1, 2 * BLOCK
+        else:
+            overlap, beam = 2 * overlap, 2 * beam
     linked = found.where("role = 'links'").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("n"))
     grouped = components(found.where("role = 'edge'").select("a", "b"))
     named = classes.select("node", "vec_id", "copies").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
