@@ -13,10 +13,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import read_table
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one parquet table of a data folder; any path that Spark can open will do."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet") if name == "labels" else read_table(spark, sf_dir, name)
 
 
 # ---------------------------------------------------------------- scratch tables
@@ -201,29 +203,43 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     edges (a, b): links between longs. Returns (node, component) for every node in a link, component being the
     smallest node reachable. Each round is a constant number of shuffles over a linear number of rows and is written
-    to the shared folder; nothing is collected but a two-number summary of each round. The links of a node in the middle
+    to the shared folder; nothing is collected but the number of rows of each round. The links of a node in the middle
     of a large star are not brought into one task: such nodes are few, and their least neighbour is broadcast.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = cut(e, "links")
-    said = e.agg(F.count("*"), F.lit(None)).first()
     for _ in range(most_rounds):
+        rows = e.count()
+        if not rows:
+            break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
-        large = hot_join(both.where("b > a"), low.select("a", "m"), "a", low.select("a", "n"), 2 * said[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = hot_join(both.where("b > a"), low.select("a", "m"), "a", low.select("a", "n"), 2 * rows).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = (
-            hot_join(large, low.select("a", "m"), "a", low.select("a", "n"), said[0])
+            hot_join(large, low.select("a", "m"), "a", low.select("a", "n"), rows)
             .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x"))
             .select("x.a", "x.b")
             .where("a <> b")
             .distinct()
         )
         e = cut(small, "links")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == said:
+        # settled when every node points to one other, and none that is pointed to points on itself
+        told = e.select("a", F.lit(1).alias("s"), F.lit(0).alias("t")).unionByName(e.select(F.col("b").alias("a"), F.lit(0).alias("s"), F.lit(1).alias("t")))
+        if not told.groupBy("a").agg(F.sum("s").alias("s"), F.max("t").alias("t")).where("s > 1 or (s = 1 and t = 1)").limit(1).count():
             break
-        said = now
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def merged(grouped: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) when further links (a, b) join nodes of components that are known, or new nodes: only the graph
+    of the components is solved again. Both should be written tables."""
+    own = grouped.select("node", "component")
+    ends = links.select("a", "b").join(own.select(F.col("node").alias("a"), F.col("component").alias("x")), "a", "left").join(own.select(F.col("node").alias("b"), F.col("component").alias("y")), "b", "left")
+    ends = cut(ends, "ends")
+    over = components(ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
+    new = ends.where("x is null").select(F.col("a").alias("node")).unionByName(ends.where("y is null").select(F.col("b").alias("node"))).distinct()
+    nodes = cut(own.unionByName(new.select("node", F.col("node").alias("component"))), "nodes")
+    return hot_join(nodes, over.select(F.col("node").alias("component"), F.col("component").alias("least")), "component").select("node", F.coalesce("least", "component").alias("component"))

@@ -7,18 +7,24 @@ candidate if at least MATCHES of the COORDINATES agree, so it must meet in the r
 postings are skipped. Candidates are confirmed by the exact Jaccard of their full sets.
 
 Only connectivity is wanted, and no step writes all pairs of a group. First, the classes of each posting are compared
-by signature within tasks of bounded size, and each task writes a spanning forest of its candidate pairs: their
-components are families, and every pair that can link lies in one. Then the full sets of a family meet, once, in a task
-(or in pairs of blocks, for a large family): intersections of all its pairs are one product of incidence matrices, and
-again only a spanning forest of the links goes on. With similarity exactly at 0.8 a pair has about 51 matching
-coordinates of 64, standard deviation 3.2; fewer than MATCHES = 38 happen to one such pair in about 20,000.
-
-Hot postings and hot families are never one task: counts are aggregated before the shuffle, and what is longer than a
-block is split into pairs of blocks. Full sets are made only for members of families, in a second scan through a bitmap
-of fixed size (a filter that may let more pass, never fewer).
+by signature, and each task writes a spanning forest of its candidate pairs: their components are families, and every
+pair that can link lies in one. Then the full sets of a family meet: intersections of its pairs are one product of
+incidence matrices, and again only a spanning forest of the links goes on. With similarity exactly at 0.8 a pair has
+about 51 matching coordinates of 64, standard deviation 3.2; fewer than MATCHES = 32 happen to one such pair in some
+50 million.
+
+A posting or family of more than BLOCK classes is never one task, nor are all pairs of its blocks. It is dealt into
+blocks at random (a family twice over, a posting differently from every other) and compared within them, which is
+linear in its size. What is then connected needs no further comparison: only the classes outside the largest
+component of their posting or family are compared with the others of it, block by block. A group of near copies is
+connected by the first step, so the second has next to nothing to do, and no pair that could link two components is
+left out. Counts are aggregated before the shuffle, hot keys meet their counts by broadcast, and full sets are made only
+for members of families, in a second scan through a bitmap of fixed size (a filter that may let more pass, never fewer).
 
 Null or blank texts have no set: they link with nothing and stay. Equal rows are one class; the least doc_id of a
-component is its representative. An empty table gives an empty result; further columns are not read.
+component is its representative (ties, which are rows of one id with several texts, go to the least digest of a text).
+Long texts are read whole, in memory linear in one text. An empty table gives an empty result; further columns are not
+read.
 """
 
 from __future__ import annotations
@@ -31,9 +37,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, cut, map_batches, mix, table, text_frame, word_hashes
+from .common import components, cut, hot_join, map_batches, merged, mix, table, text_frame, word_hashes
 
-COORDINATES, MATCHES = 64, 38
+COORDINATES, MATCHES = 64, 32
 #: Classes of a posting or family that are compared with as many others at once.
 BLOCK = 1024
 #: Bits of the candidate bitmap are 64 times this.
@@ -165,18 +171,41 @@ def _whole_groups(batches, keys: list[str]):
         yield t, ready(t, True)
 
 
-def _blocks(rows: DataFrame, key: str) -> DataFrame:
-    """Deals the rows of each key into pairs of blocks (i <= j); a key of one block has the pair (0, 0) only."""
-    sizes = rows.groupBy(key).agg(F.count("*").alias("size")).where("size > 1").select(key, F.ceil(F.col("size") / BLOCK).cast("int").alias("n_blocks"))
-    dealt = rows.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "n_blocks")
-    return dealt.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
-
-
-def _apart(block: np.ndarray, i: int, j: int) -> np.ndarray | None:
-    """For a pair of different blocks: which pairs of rows are not from one block (those have a task of their own)."""
-    return None if i == j else block[:, None] != block[None]
+def _within_blocks(rows: DataFrame, key: str, times: int = 1) -> DataFrame:
+    """Deals the rows (key, node, n_blocks, ...) of each key into its blocks, ``times`` times over if there are several."""
+    again = F.when(F.col("n_blocks") > 1, F.sequence(F.lit(0), F.lit(times - 1))).otherwise(F.array(F.lit(0)))
+    dealt = rows.withColumn("time", F.explode(again)).withColumn("block", F.pmod(F.xxhash64(key, "node", "time"), F.col("n_blocks")).cast("int"))
+    return dealt.repartition(key, "time", "block").sortWithinPartitions(key, "time", "block")
+
+
+def _rest_with_all(rows: DataFrame, key: str, grouped: DataFrame, more: DataFrame) -> DataFrame | None:
+    """Pairs of blocks in which the classes outside a key's largest component (guests) meet all classes of the key.
+
+    rows (key, node, n_blocks) of the keys with several blocks; grouped (node, component) of what is connected so far;
+    more (node, ...) is what the comparison reads. None if every key is one component."""
+    told = cut(rows.join(grouped, "node", "left").select(key, "node", "n_blocks", F.coalesce("component", "node").alias("label")), "labels")
+    sizes = told.groupBy(key, "label").agg(F.count("*").alias("n"))
+    main = sizes.groupBy(key).agg(F.max(F.struct("n", "label"))["label"].alias("main"), (F.sum("n") - F.max("n")).alias("rest")).where("rest > 0").select(key, "main", F.ceil(F.col("rest") / BLOCK).cast("int").alias("n_guests"))
+    main = cut(main, "mains")
+    if not main.limit(1).count():
+        return None
+    marked = hot_join(told, main, key).where("main is not null").join(more, "node")
+    place = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), key, "node"), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    home = marked.withColumn("block", place(1, "n_blocks")).withColumn("guests", upto("n_guests")).withColumn("guest", F.lit(0))
+    guests = marked.where("label <> main").withColumn("guests", place(2, "n_guests")).withColumn("block", upto("n_blocks")).withColumn("guest", F.lit(1))
+    return home.unionByName(guests).repartition(key, "guests", "block").sortWithinPartitions(key, "guests", "block", "guest")
+
+
+def _bridges(linked: np.ndarray, guests: list[int], home: list[int], of_guest: np.ndarray, of_home: np.ndarray) -> list[tuple[int, int]]:
+    """One pair for each guest and each other component that it is linked with. linked (guests, home)."""
+    out = []
+    linked = linked & (of_guest[:, None] != of_home[None])
+    for g in np.flatnonzero(linked.any(1)):
+        hit = np.flatnonzero(linked[g])
+        _, first = np.unique(of_home[hit], return_index=True)
+        out += [(guests[g], home[hit[k]]) for k in first]
+    return out
 
 
 def _edges(pairs: list) -> pa.RecordBatch:
@@ -184,15 +213,23 @@ def _edges(pairs: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
+def _alike(own: np.ndarray, others: np.ndarray, n_own: np.ndarray, n_others: np.ndarray, percent: int) -> np.ndarray:
+    """Which signatures and set sizes are those of candidates."""
+    agree = np.stack([(others == r).sum(1) for r in own]) >= MATCHES
+    return agree & (100 * np.minimum(n_own[:, None], n_others[None]) >= percent * np.maximum(n_own[:, None], n_others[None]))
+
+
+def _signatures_in(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.asarray(t.column("node")), np.asarray(t.column("n")), np.frombuffer(b"".join(t.column("sig8").to_pylist()), dtype=np.uint8).reshape(-1, COORDINATES)
+
+
 def candidate_forest(posts: DataFrame, percent: int) -> DataFrame:
-    """Spanning forests (a, b) of the candidates of each posting. posts (token, node, n, sig8), where sig8 holds a byte
-    of every coordinate: bytes agree at least as often as coordinates, so no candidate is lost."""
+    """Spanning forests (a, b) of the candidates in each block of a posting. posts (token, node, n_blocks, n, sig8),
+    where sig8 holds a byte of every coordinate: bytes agree at least as often as coordinates, so no candidate is lost."""
 
     def run(batches):
-        for t, bounds in _whole_groups(batches, ["token", "i", "j"]):
-            node, n = np.asarray(t.column("node")), np.asarray(t.column("n"))
-            block, bi, bj = (np.asarray(t.column(c)) for c in ("block", "i", "j"))
-            sig = np.frombuffer(b"".join(t.column("sig8").to_pylist()), dtype=np.uint8).reshape(-1, COORDINATES)
+        for t, bounds in _whole_groups(batches, ["token", "block"]):
+            node, n, sig = _signatures_in(t)
             size = np.diff(bounds)
             two = bounds[:-1][size == 2]
             x, y = two, two + 1
@@ -200,15 +237,28 @@ def candidate_forest(posts: DataFrame, percent: int) -> DataFrame:
             found = list(zip(node[x[ok]].tolist(), node[y[ok]].tolist(), strict=True))
             for k in np.flatnonzero(size > 2):
                 s = slice(bounds[k], bounds[k + 1])
-                own, sizes = sig[s], n[s]
-                agree = np.stack([(own == r).sum(1) for r in own]) >= MATCHES
-                agree &= 100 * np.minimum(sizes[:, None], sizes[None]) >= percent * np.maximum(sizes[:, None], sizes[None])
-                other = _apart(block[s], bi[bounds[k]], bj[bounds[k]])
                 names = node[s].tolist()
-                found += [(names[p], names[q]) for p, q in forest(agree if other is None else agree & other)]
+                found += [(names[p], names[q]) for p, q in forest(_alike(sig[s], sig[s], n[s], n[s], percent))]
+            yield _edges(found)
+
+    return _within_blocks(posts, "token").mapInArrow(run, "a long, b long")
+
+
+def _candidate_bridges(meeting: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b) between components that meet in a hot posting; meeting is what _rest_with_all deals."""
+
+    def run(batches):
+        for t, bounds in _whole_groups(batches, ["token", "guests", "block"]):
+            node, n, sig = _signatures_in(t)
+            label, guest = np.asarray(t.column("label")), np.asarray(t.column("guest")) == 1
+            found = []
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                g, h = a + np.flatnonzero(guest[a:b]), a + np.flatnonzero(~guest[a:b])
+                if len(g) and len(h):
+                    found += _bridges(_alike(sig[g], sig[h], n[g], n[h], percent), node[g].tolist(), node[h].tolist(), label[g], label[h])
             yield _edges(found)
 
-    return _blocks(posts, "token").mapInArrow(run, "a long, b long")
+    return meeting.mapInArrow(run, "a long, b long")
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -233,26 +283,43 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    same = intersections(sets)
+    sizes = np.diag(same)
+    return 100 * same >= percent * (sizes[:, None] + sizes[None] - same)
+
+
 def link_forest(members: DataFrame, percent: int) -> DataFrame:
-    """Spanning forests (a, b) of the links within each family. members (family, node, members)."""
+    """Spanning forests (a, b) of the links in each block of a family. members (family, node, n_blocks, members)."""
 
     def run(batches):
-        for t, bounds in _whole_groups(batches, ["family", "i", "j"]):
+        for t, bounds in _whole_groups(batches, ["family", "time", "block"]):
             node, raw = np.asarray(t.column("node")).tolist(), t.column("members")
-            block, bi, bj = (np.asarray(t.column(c)) for c in ("block", "i", "j"))
             found = []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                sets = [np.frombuffer(raw[k].as_py(), dtype=np.uint64) for k in range(a, b)]
-                if len(sets) < 2:
-                    continue
-                same = intersections(sets)
-                sizes = np.diag(same)
-                linked = 100 * same >= percent * (sizes[:, None] + sizes[None] - same)
-                other = _apart(block[a:b], bi[a], bj[a])
-                found += [(node[a + p], node[a + q]) for p, q in forest(linked if other is None else linked & other)]
+                if b - a > 1:
+                    found += [(node[a + p], node[a + q]) for p, q in forest(_linked([np.frombuffer(raw[k].as_py(), dtype=np.uint64) for k in range(a, b)], percent))]
+            yield _edges(found)
+
+    return _within_blocks(members, "family", 2).mapInArrow(run, "a long, b long")
+
+
+def _link_bridges(meeting: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components that meet in a large family; meeting is what _rest_with_all deals."""
+
+    def run(batches):
+        for t, bounds in _whole_groups(batches, ["family", "guests", "block"]):
+            node, raw, label, guest = np.asarray(t.column("node")), t.column("members"), np.asarray(t.column("label")), np.asarray(t.column("guest")) == 1
+            found = []
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                g, h = a + np.flatnonzero(guest[a:b]), a + np.flatnonzero(~guest[a:b])
+                if len(g) and len(h):
+                    both = np.concatenate([g, h])
+                    linked = _linked([np.frombuffer(raw[int(k)].as_py(), dtype=np.uint64) for k in both], percent)[: len(g), len(g) :]
+                    found += _bridges(linked, node[g].tolist(), node[h].tolist(), label[g], label[h])
             yield _edges(found)
 
-    return _blocks(members, "family").mapInArrow(run, "a long, b long")
+    return meeting.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -261,30 +328,48 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     the row is the one text that is kept of them (null ids come last)."""
     rows = cut(sketches(docs, width), "sketches")
     classes = cut(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("best"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
+    n_blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int").alias("n_blocks")
     posted = classes.select("node", F.posexplode("sig").alias("k", "v")).select(F.xxhash64("k", "v").alias("token"), "node")
     often = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = posted.join(often, "token")
+    shared = hot_join(posted, often, "token", often.select("token", F.col("df").alias("n")), COORDINATES * classes.count()).where("df is not null")
     by_node = Window.partitionBy("node")
     prefix = (
         shared.withColumn("m", F.count("*").over(by_node))
         .where(F.col("m") >= MATCHES)
         .withColumn("r", F.row_number().over(by_node.orderBy("df", "token")))
         .where(F.col("r") <= F.col("m") - MATCHES + 1)
-        .select("token", "node")
+        .select("token", "node", n_blocks("df"))
     )
+    prefix = cut(prefix, "prefix")
     low = F.unhex(F.array_join(F.transform("sig", lambda v: F.lpad(F.hex(v.bitwiseAND(F.lit(255))), 2, "0")), ""))
-    posts = prefix.join(classes.select("node", "n", low.alias("sig8")), "node")
-    tried = cut(candidate_forest(posts, percent).distinct(), "candidates")
-    families = cut(components(tried), "families").withColumnRenamed("component", "family")
-    wanted = cut(families.join(classes.select("node", "doc_id"), "node"), "wanted")
+    looks = classes.select("node", "n", low.alias("sig8"))
+    tried = cut(candidate_forest(prefix.join(looks, "node"), percent).distinct(), "candidates")
+    families = cut(components(tried), "families")
+    large = prefix.where("n_blocks > 1")
+    if large.limit(1).count() and (meeting := _rest_with_all(large, "token", families, looks)) is not None:
+        bridges = cut(_candidate_bridges(meeting, percent).distinct(), "bridges")
+        if bridges.limit(1).count():
+            families = cut(merged(families, bridges), "families")
+    families = families.withColumnRenamed("component", "family")
+    sizes = families.groupBy("family").agg(F.count("*").alias("n"))
+    wanted = hot_join(families, sizes.select("family", n_blocks("n")), "family", sizes).join(classes.select("node", "doc_id"), "node")
+    wanted = cut(wanted, "wanted")
     sets = full_sets(docs, wanted.select("node", "doc_id"), width)
-    links = link_forest(wanted.select("family", "node").join(sets, "node"), percent)
+    large = wanted.where("n_blocks > 1").select("family", "node", "n_blocks")
+    several = large.limit(1).count() > 0
+    if several:  # read more than once
+        sets = cut(sets, "sets")
+    links = link_forest(wanted.select("family", "node", "n_blocks").join(sets, "node"), percent)
     found = cut(components(links), "components")
-    named = found.join(classes.select("node", "best"), "node")
-    least = named.groupBy("component").agg(F.min("best").alias("linked"))
-    named = named.select("node", "component").join(least, "component").select("node", "linked")
+    if several and (meeting := _rest_with_all(large, "family", found, sets)) is not None:
+        bridges = cut(_link_bridges(meeting, percent).distinct(), "bridges")
+        if bridges.limit(1).count():
+            found = cut(merged(found, bridges), "components")
+    named = cut(found.join(classes.select("node", "best"), "node"), "named")
+    least = named.groupBy("component").agg(F.min("best").alias("linked"), F.count("*").alias("n"))
+    named = hot_join(named.select("node", "component"), least.select("component", "linked"), "component", least.select("component", "n")).select("node", "linked")
     own = classes.select("node", "best").join(named, "node", "left").select("node", F.coalesce("linked", "best").alias("best"))
-    out = rows.select("doc_id", "n_shingles", "node", "h").join(own, "node", "left")
+    out = hot_join(rows.select("doc_id", "n_shingles", "node", "h"), own, "node")
     stays = F.col("best").isNull() | (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("h") == F.col("best.h")))
     return out.select("doc_id", "n_shingles", "node", F.coalesce("best.doc_id", "doc_id").alias("component_id"), "h", stays.alias("stays"))
 
