@@ -8,7 +8,8 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..sources.policy import Policy
 from .tagging import FINDINGS
@@ -196,3 +197,10 @@ def judge(passages: DataFrame, make_engine: Callable[[], Engine], policy: Policy
     from pyspark.sql import functions as F
 
     return every.where("source <> 'notice'"), every.where("source = 'notice'").select("doc_id", F.lit("tier2").alias("tier"), F.col("text").alias("reason"))
+
+
+def judged_unit(family: Column, scopes: Column) -> Column:
+    """What an arm judges: whole messages for a baseline, and what its predicates' scopes name for a compiled policy;
+    a compiled policy without any scope is an error."""
+    segment, message = F.array_contains(scopes, "segment"), F.array_contains(scopes, "message")
+    return F.when(family != "compiled", "message").when(segment & message, "segment+message").when(segment, "segment").when(message, "message").otherwise(F.raise_error(F.lit("a compiled policy without scopes")).cast("string"))

@@ -89,7 +89,9 @@ def rewritten(docs: DataFrame, spans: DataFrame) -> DataFrame:
     Messages without spans pass unchanged; spans are folded by document, so a text is shuffled once."""
     by_doc = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action", "replacement"))).alias("s"))
     j = docs.join(by_doc, "doc_id", "left").withColumn("s", F.coalesce("s", F.array().cast("array<struct<start:int,end:int,action:string,replacement:string>>")))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, x: F.when(x["replacement"].isNull(), acc).otherwise(F.struct(x["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), x["replacement"]).alias("out")))
-    text = F.aggregate("s", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    # what lies before each replaced span, what replaces it, and what is left
+    done = F.filter("s", lambda x: x["replacement"].isNotNull())
+    before = F.concat(F.array(F.lit(0)), F.transform(done, lambda x: x["end"]))
+    parts = F.zip_with(done, F.slice(before, 1, F.greatest(F.size(done), F.lit(1))), lambda x, at: F.when(x.isNotNull(), F.concat(F.substring(F.col("text"), at + 1, x["start"] - at), x["replacement"])))
+    text = F.concat(F.array_join(parts, ""), F.substring(F.col("text"), F.element_at(before, -1) + 1, F.length("text")))
     return j.select("doc_id", text.alias("text"), F.exists("s", lambda x: x["action"] == "block").alias("blocked"), F.size(F.filter("s", lambda x: x["replacement"].isNotNull())).cast("long").alias("n_applied"), F.size(F.filter("s", lambda x: x["replacement"].isNull())).cast("long").alias("n_skipped"))

@@ -61,6 +61,10 @@ def _scramble(value: str, rng: Rng) -> str:
     return "".join(out)
 
 
+#: Kinds of surrogates: a name of a person, of an organisation, a number with the holder's type kept, any other text.
+KINDS = ("person-name", "org-name", "id-number", "opaque")
+
+
 def surrogate(real: str, kind: str, rng: Rng) -> str:
     if kind == "person-name":
         return f"{rng.pick(_FIRST)} {rng.pick(_LAST)}"
@@ -72,9 +76,9 @@ def surrogate(real: str, kind: str, rng: Rng) -> str:
     return made
 
 
-def _shares(real: str, made: str) -> bool:
-    words = lambda s: {w for w in re.split(r"[^a-z0-9]+", s.lower()) if len(w) > 1}
-    return real.lower() == made.lower() or bool(words(real) & words(made))
+def _words(text: str) -> set[str]:
+    """What would betray a value: its words of more than one letter or digit."""
+    return {w for w in re.split(r"[^a-z0-9]+", text.lower()) if len(w) > 1}
 
 
 class VaultError(ValueError):
@@ -87,7 +91,10 @@ def mint(conversation: str, entries: list[tuple[str, str, str]], salt: str = "",
     A surrogate differs from all others and betrays no real value of the conversation; after SALTS tries a number is
     put behind the last one."""
     out = dict(known or {})
-    reals = [r for _, _, r in entries] + [r for _, r in out]
+    reals = {r.lower() for _, _, r in entries} | {r.lower() for _, r in out}
+    words = {w for r in reals for w in _words(r)}
+    used = set(out.values())
+    betrays = lambda made: made.lower() in reals or not words.isdisjoint(_words(made))
     for entity_type, kind, real in entries:
         if entity_type in never:
             raise VaultError("a type that is never pseudonymised")
@@ -95,10 +102,10 @@ def mint(conversation: str, entries: list[tuple[str, str, str]], salt: str = "",
             raise VaultError("a blank value")
         if (entity_type, real) in out:
             continue
-        used, made = set(out.values()), ""
+        made = ""
         for k in range(SALTS):
             made = surrogate(real, kind, Rng(seed_of(f"{salt}{k or ''}\0{conversation}\0{entity_type}\0{real}")))
-            if made not in used and not any(_shares(r, made) for r in reals):
+            if made not in used and not betrays(made):
                 break
         else:
             base, k = made, 2
@@ -106,6 +113,7 @@ def mint(conversation: str, entries: list[tuple[str, str, str]], salt: str = "",
                 k += 1
             made = f"{base} {k}"
         out[entity_type, real] = made
+        used.add(made)
     return out
 
 

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from ..operators import detect, notices, resolve
 from ..sources.policy import Policy
 
-#: A model stage: segments to findings.
+#: A model stage: segments to findings. A detector: messages to findings, in place of the whole pipeline.
 Stage = Callable[[DataFrame], DataFrame]
+Detector = Callable[[DataFrame], DataFrame]
 
 
 @dataclass

@@ -13,7 +13,8 @@ from ..operators import corpus as K
 
 
 from ..sources.testdata_policy import POLICY
-from .base import query, read, sql_spans, sql_values
+from .base import query, quoted, read, sql_spans, sql_values
+from .detection import winners_sql
 from .functions import SWEEP, SWEEP_SQL, TITLE, TOK
 from .inputs import SPAN_PAIRS, view
 
@@ -237,11 +238,24 @@ def split_half(spark, d):
     return split_half(scores(spark, d))
 
 
-@query("A51_selftest", "SELECT toxic AS expected, count(*) AS n, count(*) FILTER (WHERE regexp_matches(text, '!!')) AS detected, round(count(*) FILTER (WHERE regexp_matches(text, '!!')) / count(*)::DOUBLE, 9) AS rate FROM labels l JOIN documents d ON d.doc_id = l.doc_id GROUP BY toxic")
+# self-test cases of each entity type, told by plain marks in the documents: a positive holds the mark of a value of the
+# type, a hard negative what looks like it and is none
+MARKS = {"EMAIL": ("@mail", "@"), "PHONE": ("+1 (", "+"), "TOKEN": ("token =", "token"), "LICENCE": ("Licensed under", "License"), "CARD": ("card", "0000"), "IP": ("192.", ".1")}
+CASES_SQL = " UNION ALL ".join(f"SELECT doc_id, {quoted(t)} AS entity_type, CASE WHEN contains(text, {quoted(m)}) THEN 'positive' ELSE 'negative' END AS kind FROM documents WHERE contains(text, {quoted(m)}) OR contains(text, {quoted(n)})" for t, (m, n) in MARKS.items())
+
+
+@query("A51_selftest", f"""WITH cases AS ({CASES_SQL}), won AS (SELECT DISTINCT doc_id, entity_type FROM ({winners_sql('public')}) AS w),
+  judged AS (SELECT c.*, EXISTS (SELECT 1 FROM won WHERE won.doc_id = c.doc_id AND won.entity_type = c.entity_type) AS detected, EXISTS (SELECT 1 FROM won WHERE won.doc_id = c.doc_id) AS any_type FROM cases AS c),
+  n AS (SELECT entity_type, count(*) FILTER (WHERE kind = 'positive') AS positives, count(*) FILTER (WHERE kind = 'negative') AS negatives, count(*) FILTER (WHERE kind = 'positive' AND detected) AS caught, count(*) FILTER (WHERE kind = 'positive' AND NOT detected AND any_type) AS shadowed, count(*) FILTER (WHERE kind = 'negative' AND detected) AS false_positives FROM judged GROUP BY entity_type)
+  SELECT *, round(CAST(caught + shadowed AS DOUBLE) / nullif(positives, 0), 9) AS recall, round(CAST(caught AS DOUBLE) / nullif(positives, 0), 9) AS label_recall, round(CAST(false_positives AS DOUBLE) / nullif(negatives, 0), 9) AS fp_rate FROM n""")
 def selftest(spark, d):
-    j = read(spark, d, "labels").join(read(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    hit = F.count_if(F.col("text").contains("!!"))
-    return j.groupBy(F.col("toxic").alias("expected")).agg(F.count("*").alias("n"), hit.alias("detected"), F.round(hit / F.count("*"), 9).alias("rate"))
+    from ..operators.selftest import score
+    from ..plans.pipeline import detect_messages
+
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    case = lambda t, m, n: F.when(F.col("text").contains(m), F.struct(F.lit(t).alias("entity_type"), F.lit("positive").alias("kind"))).when(F.col("text").contains(n), F.struct(F.lit(t).alias("entity_type"), F.lit("negative").alias("kind")))
+    cases = docs.select("doc_id", F.explode(F.filter(F.array(*[case(t, m, n) for t, (m, n) in MARKS.items()]), lambda x: x.isNotNull())).alias("x")).select("doc_id", "x.*")
+    return score(cases, detect_messages(docs, POLICY, provider="public").resolved)
 
 
 @query("A65_blindness_audit", "SELECT n_name AS channel, n_regionkey <> 2 AS audited FROM nation")
@@ -312,11 +326,17 @@ def longest_first(spark, d):
     return read(spark, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.transform(x, lambda y: y["n_name"]), "|").alias("names"))
 
 
-@query("P23_judged_units", "SELECT n_nationkey, CASE WHEN n_regionkey = 0 THEN 'message' WHEN n_regionkey = 1 THEN 'segment' ELSE 'segment+message' END AS unit FROM nation")
-def judged_units(spark, d):
-    return read(spark, d, "nation").select("n_nationkey", F.when(F.col("n_regionkey") == 0, "message").when(F.col("n_regionkey") == 1, "segment").otherwise("segment+message").alias("unit"))
+ARMS_SQL = "(SELECT o_orderkey % 4001 AS arm, CASE WHEN o_orderkey % 4001 % 4 = 0 THEN 'policy-in-context' ELSE 'compiled' END AS family, list(DISTINCT CASE WHEN o_orderpriority LIKE '1%' THEN 'segment' ELSE 'message' END) AS scopes FROM orders WHERE o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' GROUP BY ALL)"
+
 
+@query("P23_judged_units", f"SELECT arm, CASE WHEN family <> 'compiled' THEN 'message' WHEN len(scopes) = 2 THEN 'segment+message' ELSE scopes[1] END AS unit FROM {ARMS_SQL} AS a")
+def judged_units(spark, d):
+    from ..operators.judging import judged_unit
 
+    o = read(spark, d, "orders").where("o_orderpriority like '1%' or o_orderpriority like '2%'")
+    arm = F.col("o_orderkey") % 4001
+    arms = o.groupBy(arm.alias("arm")).agg(F.collect_set(F.when(F.col("o_orderpriority").startswith("1"), "segment").otherwise("message")).alias("scopes"))
+    return arms.select("arm", judged_unit(F.when(F.col("arm") % 4 == 0, "policy-in-context").otherwise("compiled"), F.col("scopes")).alias("unit"))
 
 
 @query("P21_candidate_decision", "SELECT vec_id, CASE WHEN a >= b AND a >= 0.1 THEN 'A' WHEN a < b AND b >= 0.1 THEN 'B' END AS decided FROM (SELECT vec_id, CAST(abs(embedding[1]) AS DOUBLE) AS a, CAST(abs(embedding[2]) AS DOUBLE) AS b FROM embeddings) AS p")

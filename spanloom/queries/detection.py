@@ -315,6 +315,19 @@ def redact_documents(spark, d):
     return resolve.rewritten(_documents(spark, d), _redactions(spark, d).select("doc_id", "start", "end", "action", "replacement"))
 
 
+@query("X04_detector", f"SELECT doc_id, md5(regexp_replace(text, '[A-Z][a-z]+ [A-Z][a-z]+', '[REDACTED:NAME]', 'g')) AS digest FROM documents")
+def detector(spark, d):
+    """The whole of detection replaced by another: rewriting takes the findings of any."""
+    from ..plans.pipeline import Detector
+
+    def names(docs: DataFrame) -> DataFrame:
+        return docs.select("doc_id", F.explode(find_spans(F.col("text"), "[A-Z][a-z]+ [A-Z][a-z]+")).alias("x")).select("doc_id", "x.start", "x.end", F.lit("redact").alias("action"), resolve.redaction(F.lit("NAME")).alias("replacement"))
+
+    found: Detector = names
+    docs = _documents(spark, d)
+    return resolve.rewritten(docs, found(docs)).select("doc_id", F.md5("text").alias("digest"))
+
+
 @query("R02_span_sanity", f"SELECT count(*) FILTER (WHERE s_start >= s_end) AS empty, count(*) FILTER (WHERE s_end > length(message)) AS out_of_range, count(*) FILTER (WHERE substring(message, s_start + 1, s_end - s_start) <> s_text) AS mismatched, count(*) AS n FROM (SELECT w.*, d.text AS message FROM ({winners_sql()}) AS w JOIN documents d ON d.doc_id = w.doc_id) AS x")
 def span_sanity(spark, d):
     w = _redactions(spark, d)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import strata as T
 from ..functions.offsets import find_spans
 from .base import query, quoted, read, sql_spans
 from .inputs import KV_MESSAGES, SPAN_PAIRS, view
@@ -196,9 +197,13 @@ def fold(spark, d):
     return read(spark, d, "customer").select("c_custkey", S.fold_hash(F.col("c_name"), 5).alias("fold"))
 
 
-@query("F25_hmac_row_id")
+_SALT = "a salt of thirty-two characters!"
+_PAD = lambda x: "".join(f"\\x{b ^ x:02X}" for b in _SALT.encode().ljust(64, b"\0"))
+
+
+@query("F25_hmac_row_id", f"SELECT c_custkey, substring(sha256('{_PAD(0x5C)}'::BLOB || unhex(sha256('{_PAD(0x36)}'::BLOB || encode(c_name)))), 1, 16) AS row_id FROM customer")
 def row_ids(spark, d):
-    return read(spark, d, "customer").select("c_custkey", S.row_id("a salt of thirty-two characters!", F.col("c_name")).alias("row_id"))
+    return read(spark, d, "customer").select("c_custkey", S.row_id(_SALT, F.col("c_name")).alias("row_id"))
 
 
 @query("F26_sha256", "SELECT doc_id, sha256(text) AS digest FROM documents")
@@ -233,22 +238,51 @@ for _n in ("F33_policy_label", "P30_ir_backed_label"):
         return policy_label(s, defaults).groupBy("label", "action", "ir_backed").agg(F.count("*").alias("n"))
 
 
-for _n in ("F34_strata", "F37_role_class", "A64_construction_flag"):
+# ---------------------------------------------------------------- generated items, made from customers and their orders
+
+ROLE = "CASE o_orderkey % 11 WHEN 0 THEN 'client' WHEN 1 THEN 'prospect' WHEN 2 THEN 'counterparty' WHEN 3 THEN 'nda-party' WHEN 4 THEN 'none' WHEN 5 THEN NULL WHEN 6 THEN 'landlord' WHEN 7 THEN 'competitor' WHEN 8 THEN 'listed-company' ELSE 'vendor' END"
+# a few injections an item, so that many items have none on the client's side
+ROLES_SQL = f"(SELECT o_custkey, list({ROLE} ORDER BY o_orderkey) AS roles FROM orders WHERE o_orderdate < DATE '1993-06-01' GROUP BY o_custkey)"
+SIDE = "('client', 'prospect', 'counterparty', 'nda-party')"
+ITEMS_SQL = f"""(SELECT concat(CASE WHEN c_custkey % 7 = 0 THEN 'neg-' ELSE 'item-' END, c_custkey, '-w', c_nationkey % 3) AS item_id, concat('c', c_nationkey) AS carrier, CASE WHEN c_nationkey > 12 THEN lower(c_mktsegment) END AS said, CASE WHEN c_acctbal < 3000 THEN 'sparse' ELSE 'dense' END AS density, lower(c_mktsegment) AS register,
+  list_sort(list_filter(coalesce(roles, []), lambda r: r IS NOT NULL AND r <> 'none')) AS made_from FROM customer LEFT JOIN {ROLES_SQL} AS r ON o_custkey = c_custkey)"""
+MADE = f"len(list_filter(made_from, lambda r: r IN {SIDE})) > 0"
+
+
+def generated_items(spark, d):
+    """(item_id, meta, roles)."""
+    roles = read(spark, d, "orders").where("o_orderdate < date '1993-06-01'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", F.expr(ROLE).alias("role")))), lambda x: x["role"]).alias("roles"))
+    c = read(spark, d, "customer").join(roles, "c_custkey", "left")
+    meta = F.map_from_arrays(F.array(*[F.lit(k) for k in ("carrierId", "carrierStratum", "density", "carrierRegister")]), F.array(F.concat(F.lit("c"), F.col("c_nationkey").cast("string")), F.when(F.col("c_nationkey") > 12, F.lower("c_mktsegment")), F.when(F.col("c_acctbal") < 3000, "sparse").otherwise("dense"), F.lower("c_mktsegment")))
+    item_id = F.concat(F.when(F.col("c_custkey") % 7 == 0, "neg-").otherwise("item-"), F.col("c_custkey").cast("string"), F.lit("-w"), (F.col("c_nationkey") % 3).cast("string"))
+    return c.select(item_id.alias("item_id"), meta.alias("meta"), F.coalesce("roles", F.array().cast("array<string>")).alias("roles"))
+
+
+@query("F34_strata", f"SELECT item_id, carrier, coalesce(said, 'ordinary') AS carrier_stratum, CASE WHEN item_id LIKE 'neg-%' THEN 'pristine' ELSE string_split(item_id, '-')[-1] END AS wave, density, register, CAST({MADE} AS STRING) AS constructed_prediction FROM {ITEMS_SQL} AS i")
+def strata(spark, d):
+    return generated_items(spark, d).select("item_id", *T.strata(F.col("item_id"), F.col("meta"), F.col("roles")))
+
+
+@query("F37_role_class", f"SELECT role, CASE WHEN role IN {SIDE} THEN 'client-side' ELSE 'non-client' END AS role_class, count(*) AS n FROM (SELECT {ROLE} AS role FROM orders) AS o WHERE role IS NOT NULL GROUP BY ALL")
+def role_classes(spark, d):
+    roles = read(spark, d, "orders").select(F.expr(ROLE).alias("role")).where("role is not null")
+    return roles.groupBy("role", T.role_class(F.col("role")).alias("role_class")).agg(F.count("*").alias("n"))
+
+
+@query("A64_construction_flag", f"SELECT item_id, {MADE} AS constructed, array_to_string(made_from, ',') AS constructed_from FROM {ITEMS_SQL} AS i")
+def construction(spark, d):
+    return generated_items(spark, d).select("item_id", T.constructed(F.col("roles")).alias("constructed"), F.array_join(T.constructed_from(F.col("roles")), ",").alias("constructed_from"))
+
 
-    @query(_n, "SELECT p_partkey, string_split(p_type, ' ')[1] AS stratum, string_split(p_type, ' ')[1] IN ('STANDARD', 'ECONOMY') AS client_side FROM part")
-    def strata(spark, d):
-        s = F.substring_index("p_type", " ", 1)
-        return read(spark, d, "part").select("p_partkey", s.alias("stratum"), s.isin("STANDARD", "ECONOMY").alias("client_side"))
+# adapters made from suppliers: some report a limit too low, some do not report it
+LIMITS = {"maxComputeWorkgroupStorageSize": "16384 * (1 + s_suppkey % 4)", "maxStorageBuffersPerShaderStage": "8 + s_suppkey % 5", "maxBufferSize": "CASE WHEN s_nationkey <> 4 THEN 268435456 * (1 + s_suppkey % 2) END", "maxStorageBufferBindingSize": "67108864 * (1 + s_suppkey % 3)"}
+FLOORS_SQL = " AND ".join(f"coalesce(CAST({LIMITS[k]} AS BIGINT) >= {v}, FALSE)" for k, v in T.ADAPTER_FLOOR.items())
 
 
-@query("P26_adapter_floor", "SELECT s_suppkey, s_acctbal >= 0 AND s_nationkey >= 3 AS ok FROM supplier")
+@query("P26_adapter_floor", f"SELECT s_suppkey, {FLOORS_SQL} AS ok FROM supplier")
 def adapter_floor(spark, d):
-    limits = F.create_map(F.lit("balance"), F.col("s_acctbal"), F.lit("nation"), F.col("s_nationkey").cast("double"))
-    floors_ = {"balance": 0.0, "nation": 3.0}
-    ok = F.lit(True)
-    for k, v in floors_.items():
-        ok = ok & F.coalesce(F.try_element_at(limits, F.lit(k)) >= v, F.lit(False))
-    return read(spark, d, "supplier").select("s_suppkey", ok.alias("ok"))
+    limits = F.map_filter(F.create_map(*[x for k, v in LIMITS.items() for x in (F.lit(k), F.expr(v).cast("long"))]), lambda k, v: v.isNotNull())
+    return read(spark, d, "supplier").select("s_suppkey", T.meets_floor(limits).alias("ok"))
 
 
 @query("M02_word_split", "SELECT item_id, length(text) AS n_chars, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+(?:[-_][\\p{L}\\p{N}_]+)*|[^\\s]'))::BIGINT AS n_words FROM benchmark")

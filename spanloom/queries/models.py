@@ -66,13 +66,19 @@ def resolve_mention(spark, d):
     return mapped(messages(spark, d), one, "item_id long, s_start long, s_end long")
 
 
+def _logits(e) -> np.ndarray:
+    """A whole vector as (words, classes, 3); what is short of a last word is filled with no chance."""
+    x = np.array(e, dtype=float)
+    return np.concatenate([x, np.full(-len(x) % 6, -9.0)]).reshape(-1, 2, 3)
+
+
 for _n in ("M06_decode_token_logits",):
 
     @query(_n)
     def decode_tokens(spark, d):
         def run(frames):
             for f in frames:
-                rows = [(v, *x) for v, e in zip(f["vec_id"], f["embedding"]) for x in tagging.decode_token_logits(np.array(e[:60], dtype=float).reshape(10, 2, 3), 0.52, 4)]
+                rows = [(v, *x) for v, e in zip(f["vec_id"], f["embedding"]) for x in tagging.decode_token_logits(_logits(e), 0.52, 4)]
                 yield pd.DataFrame(rows, columns=["vec_id", "first_word", "last_word", "class_index", "score"])
 
         return read(spark, d, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, first_word long, last_word long, class_index long, score double")

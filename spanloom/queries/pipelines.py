@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import injection as I
 from ..operators import matching as G
@@ -257,19 +258,65 @@ def sessions(spark, d):
     return windows.sessions(read(spark, d, "events")).select(F.unix_micros(F.col("start").cast("timestamp")).alias("start"), "user_id", "n")
 
 
-for _n in ("T01_stream_rehydrate", "R10_streaming_rehydrate", "T03_serial_per_key"):
+STREAMED = "SELECT conv_id, count(*) AS n, md5(regexp_replace(string_agg(text, '' ORDER BY turn), '(the|and)', '<\\1>', 'g')) AS digest FROM conversations GROUP BY conv_id"
 
-    @query(_n, "SELECT count(*) AS n, count(DISTINCT conv_id) AS conversations FROM conversations")
+
+def _streamed(spark, d, parts: int):
+    """Conversations as a stream of files, a chunk a turn, the last one marked; what came out, put together again."""
+    from ..streaming.rehydrate import rehydrated
+
+    last = F.col("turn") == F.max("turn").over(Window.partitionBy("conv_id"))
+    source = read(spark, d, "conversations").select("conv_id", F.col("turn").alias("seq"), "text", last.alias("done"), F.lit('{"the": "<the>", "and": "<and>"}').alias("vault"))
+    path, out, at = (scratch.folder(spark, x) for x in ("chunks", "out", "progress"))
+    source.repartitionByRange(parts, "seq").write.parquet(path)
+    s = spark.readStream.schema("conv_id long, seq long, text string, done boolean, vault string").option("maxFilesPerTrigger", 1000).parquet(path)
+    q = rehydrated(s).writeStream.format("parquet").option("path", out).option("checkpointLocation", at).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema("conv_id long, seq long, text string").parquet(out)
+
+
+for _n in ("T01_stream_rehydrate", "R10_streaming_rehydrate"):
+
+    @query(_n, STREAMED)
     def stream(spark, d):
-        from ..streaming.rehydrate import rehydrated
-
-        source = read(spark, d, "conversations")
-        path, out, at = (scratch.folder(spark, x) for x in ("chunks", "out", "progress"))
-        source.select("conv_id", F.col("turn").alias("seq"), "text", F.lit(False).alias("done"), F.lit('{"the": "THE"}').alias("vault")).write.parquet(path)
-        s = spark.readStream.schema("conv_id long, seq long, text string, done boolean, vault string").parquet(path)
-        q = rehydrated(s).writeStream.format("parquet").option("path", out).option("checkpointLocation", at).outputMode("append").trigger(availableNow=True).start()
-        q.awaitTermination()
-        return spark.read.schema("conv_id long, seq long, text string").parquet(out).agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("conversations"))
+        """Replies with the real values back, held against the whole conversation at once."""
+        whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "")
+        return _streamed(spark, d, 1).groupBy("conv_id").agg(F.count("*").alias("n"), F.md5(whole).alias("digest"))
+
+
+@query("T03_serial_per_key", "SELECT conv_id, turn AS seq FROM conversations")
+def serial(spark, d):
+    """Every chunk of a conversation is answered once, under its own number."""
+    return _streamed(spark, d, 1).select("conv_id", "seq")
+
+
+@query("T04_bounded_concurrency", """SELECT o_orderkey, o_orderkey % 4 AS lane FROM orders o LEFT JOIN (SELECT o_orderkey % 4 AS l, min(o_orderkey) AS last FROM orders WHERE o_totalprice > 300000 GROUP BY 1) AS s ON l = o_orderkey % 4 WHERE last IS NULL OR o_orderkey <= last""")
+def lanes(spark, d):
+    """Four lanes, each of which stops at its first dear order."""
+    import pandas as pd
+
+    from ..operators.lanes import in_lanes
+
+    call = lambda f: pd.DataFrame({"o_orderkey": f["o_orderkey"], "lane": f["o_orderkey"] % 4})
+    return in_lanes(read(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", F.col("o_orderkey") % 4, 4, call, lambda f: f["o_totalprice"] > 300000, "o_orderkey long, lane long")
+
+
+@query("X08_surrogate_kinds", "SELECT kind, c_custkey, kind <> 'org-name' AND kind <> 'person-name' AS same_shape FROM customer, (VALUES ('person-name'), ('org-name'), ('id-number'), ('opaque')) AS v(kind)")
+def surrogate_kinds(spark, d):
+    """Every kind on every customer's name: generated names have a shape of their own, the others keep the value's."""
+    import re
+
+    import pandas as pd
+
+    from ..operators.vault import KINDS, Rng, seed_of, surrogate
+
+    shape = lambda t: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", t)))
+
+    def run(frames):
+        for f in frames:
+            yield pd.DataFrame([(k, c, shape(surrogate(n, k, Rng(seed_of(f"{k}{c}")))) == shape(n)) for c, n in zip(f["c_custkey"], f["c_name"]) for k in KINDS], columns=["kind", "c_custkey", "same_shape"])
+
+    return read(spark, d, "customer").select("c_custkey", "c_name").mapInPandas(run, "kind string, c_custkey long, same_shape boolean")
 
 
 # ---------------------------------------------------------------- pipelines
