@@ -1,24 +1,31 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained from labelled text. The ordinary one holds content of non-toxic windows; the
-toxic one holds the same content and, in place of a last stretch of ordinary text, words that set toxic texts apart
-(each in a text of its own family: near copies are taken out of the sample first, or the words of a copied text would
-look telling). A document is cut at white space into windows of about WINDOW bytes; a window that compresses
-better with the toxic dictionary has toxic matter in it, and the number of bytes it saves is calibrated on labelled
-documents that trained no dictionary: every saving has a log-likelihood ratio (made monotone), a document's ratios are
-summed over all its windows, and a logistic curve turns the sum into a score.
-
-Null and empty texts have no windows and get the score of a sum of 0; repeated rows get equal scores; long texts are
-read whole; an empty table gives an empty result; without labels of both classes every score is 0. Only the text is an
-input of a score.
+Zstandard dictionaries are trained on toxic and on ordinary labelled text, and a document's windows (about WINDOW bytes,
+cut at white space) are compressed with both: what saves bytes with the toxic dictionary has toxic matter in it.
+
+A toxic document is mostly ordinary text, so a dictionary trained on all of it says little. Training therefore has two
+rounds. First the training documents are dealt into groups, dictionaries are trained on each group of either class, and
+every document's short windows are compressed with those of all other groups: chance differences between two
+dictionaries average out, toxic matter saves bytes with every one. Then the toxic dictionary is trained on the windows
+of toxic documents whose mean saving reaches a threshold (one at which a window of a toxic document is ODDS times as
+frequent as one of an ordinary document), and the ordinary dictionary on as many windows of ordinary documents, twice
+over, those that look most toxic. Both follow one common stretch trained on ordinary windows, so that they differ in
+nothing else. Several such pairs are trained; of these the one that ranks the calibration documents best is taken, and
+then the one that adds most, up to PAIRS.
+
+Calibration documents train no dictionary. Their windows give every saving a log-likelihood ratio (made monotone: the
+thresholds on compression lengths with their weights), a document's ratios are summed over all its windows, and a
+logistic curve turns the sum into a score. Near copies are taken out of the sample first.
+
+Null and empty texts have no windows and get the score of a sum of 0; repeated rows and equal texts get equal scores;
+long texts are read whole; an empty table gives an empty result; without labels of both classes every score is 0. Ties
+in training go to the earlier window, in an order that depends on the sample alone. Only the text is an input of a score.
 """
 
 from __future__ import annotations
 
 import math
 import random
-import re
-from collections import Counter
 
 import numpy as np
 import zstandard
@@ -30,15 +37,16 @@ from .labelled import remainder, training_rows
 
 #: Labelled documents of each class that are read at most.
 MOST = 2500
-WINDOW, LEVEL, LEAST_MATCH = 64, 12, 3
-BASE_BYTES = 16384
-#: A word counts as telling from this many toxic documents and this G statistic on.
-WORD_DOCS, WORD_G = 4, 14.0
+WINDOW, LEVEL, LEAST_MATCH = 96, 12, 3
+#: First round: groups of documents, bytes of a group's dictionary, bytes of a window (both are tried).
+GROUPS, GROUP_BYTES, SHORT = 6, 60_000, (20, 32)
+#: Second round: bytes of the common stretch, and the odds, and what is tried for the bytes and the segments of the rest.
+BASE_BYTES, ODDS, OWN_BYTES, SEGMENTS = 16_384, 5, (768, 1024, 1536), (12, 24)
+#: Pairs of dictionaries that score; part of the sample that trains dictionaries; share of toxic documents that the
+#: scores assume.
+PAIRS, TRAINING, TOXIC_SHARE = 2, 0.6, 0.4
 FOLD, HELD, THRESHOLD = 3, 1, 0.7
 
-_WORD = re.compile(r"\w+")
-
-
 def windows(text: str, size: int = WINDOW) -> list[bytes]:
     data = text.lower().encode("utf-8", "surrogatepass")
     data = data.translate(_SPACES)
@@ -69,24 +77,6 @@ def apart(texts: list[str], most: float = 0.3) -> list[str]:
     return out
 
 
-def telling_words(toxic: list[str], ordinary: list[str]) -> list[str]:
-    def counts(texts):
-        c: Counter = Counter()
-        for t in texts:
-            c.update(set(_WORD.findall(t.lower())))
-        return c
-
-    ct, co, nt, no = counts(toxic), counts(ordinary), len(toxic), len(ordinary)
-    out = []
-    for w, a in ct.items():
-        b = co[w]
-        if a >= WORD_DOCS and a * no > 4 * b * nt:
-            g = 2 * (a * math.log(a * (nt + no) / ((a + b) * nt)) + (b * math.log(b * (nt + no) / ((a + b) * no)) if b else 0))
-            if g >= WORD_G:
-                out.append(w)
-    return sorted(out)
-
-
 def monotone(values: list[float], weights: list[float]) -> list[float]:
     """Isotonic regression by pooling neighbours that are out of order."""
     blocks: list[list[float]] = []
@@ -98,45 +88,116 @@ def monotone(values: list[float], weights: list[float]) -> list[float]:
     return [v for v, _, k in blocks for _ in range(int(k))]
 
 
-LEAST, GREATEST = -4, 14
+#: Savings of one pair beyond these count like these.
+LEAST, GREATEST = -6, 14
+
+
+def content(sample: list[bytes], size: int, segment: int, run: int = 6) -> bytes:
+    """A dictionary of ``size`` bytes trained on the sample; one too small to train on is its own dictionary."""
+    if not sample:
+        return b""
+    try:
+        return zstandard.train_dictionary(size, sample, k=segment, d=run, steps=0, split_point=1.0).as_bytes()[-size:]
+    except zstandard.ZstdError:
+        return b"".join(sample)[-size:]
+
+
+def compressor(dictionary: bytes, size: int, level: int):
+    d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    p = zstandard.ZstdCompressionParameters.from_level(level, source_size=size, dict_size=len(dictionary), write_content_size=0, write_dict_id=0, min_match=LEAST_MATCH, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+    d.precompute_compress(compression_params=p)
+    return zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress
 
 
 class Model:
-    """Dictionary contents, ratios by bytes saved, and the logistic curve."""
+    """Pairs of dictionaries (toxic, ordinary), ratios by bytes saved, and the logistic curve."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes, ratios: list[float], curve: tuple[float, float]):
-        self.toxic, self.ordinary, self.ratios, self.curve = toxic, ordinary, ratios, curve
-        self._pair = None
+    def __init__(self, pairs: list[tuple[bytes, bytes]], ratios: list[float], curve: tuple[float, float]):
+        self.pairs, self.ratios, self.curve = pairs, ratios, curve
+        self._made = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_pair": None}
-
-    def _compressors(self):
-        if self._pair is None:
-            made = []
-            for content in (self.toxic, self.ordinary):
-                d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                p = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=WINDOW, dict_size=len(content), write_content_size=0, write_dict_id=0, min_match=LEAST_MATCH, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
-                d.precompute_compress(compression_params=p)
-                made.append(zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress)
-            self._pair = made
-        return self._pair
+        return self.__dict__ | {"_made": None}
 
     def savings(self, text: str) -> list[int]:
-        """Bytes that each window saves with the toxic dictionary."""
-        toxic, ordinary = self._compressors()
-        return [len(ordinary(w)) - len(toxic(w)) for w in windows(text)]
+        """Bytes that each window saves with the toxic dictionaries."""
+        if self._made is None:
+            self._made = [[compressor(x, WINDOW, LEVEL) for x in pair] for pair in self.pairs]
+        cut = windows(text)
+        out = [0] * len(cut)
+        for toxic, ordinary in self._made:
+            out = [n + len(ordinary(w)) - len(toxic(w)) for n, w in zip(out, cut, strict=True)]
+        return out
 
     def evidence(self, text: str) -> float:
-        return sum([self.ratios[min(max(s, LEAST), GREATEST) - LEAST] for s in self.savings(text)])
+        least, most, ratios = LEAST * len(self.pairs), GREATEST * len(self.pairs), self.ratios
+        return sum([ratios[min(max(s, least), most) - least] for s in self.savings(text)])
 
     def score(self, text: str) -> float:
-        if not self.toxic:
+        if not self.pairs:
             return 0.0
         a, b = self.curve
         return 1 / (1 + math.exp(-min(max(a * self.evidence(text) + b, -40), 40)))
 
 
+def mean_savings(toxic: list[str], ordinary: list[str], size: int) -> tuple[list[tuple[float, bytes]], list[tuple[float, bytes]]]:
+    """(saving, window) of both classes' short windows: means over the dictionaries of all groups but the window's own."""
+    groups = max(2, min(GROUPS, len(toxic) // 4, len(ordinary) // 4))
+    dealt = [[[w for t in texts[k::groups] for w in windows(t, size)] for k in range(groups)] for texts in (toxic, ordinary)]
+    pairs = [[compressor(content(of_class[k], GROUP_BYTES, 32), size, LEVEL) for of_class in dealt] for k in range(groups)]
+    out = []
+    for of_class in dealt:
+        mean: list[tuple[float, bytes]] = []
+        for k, sample in enumerate(of_class):
+            total = np.zeros(len(sample))
+            for j, (with_toxic, with_ordinary) in enumerate(pairs):
+                if j != k:
+                    total += [len(with_ordinary(w)) - len(with_toxic(w)) for w in sample]
+            mean += zip((total / (groups - 1)).tolist(), sample, strict=True)
+        out.append(mean)
+    return out[0], out[1]
+
+
+def threshold_for(toxic: np.ndarray, ordinary: np.ndarray, odds: float) -> float:
+    """The least saving that a window of a toxic document reaches ``odds`` times as often as one of an ordinary one."""
+    for step in range(1, 2 * GREATEST):
+        if (toxic >= step / 2).mean() >= odds * max((ordinary >= step / 2).mean(), 1 / len(ordinary)):
+            return step / 2
+    return float(np.quantile(toxic, 0.98))
+
+
+def ranking(evidence: np.ndarray, y: np.ndarray) -> float:
+    """Area under the ROC curve, ties counting half."""
+    both, place, count = np.unique(evidence, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(count) - (count - 1) / 2)[place]
+    n = int(y.sum())
+    return float((rank[y == 1].sum() - n * (n + 1) / 2) / max(1, n * (len(y) - n)))
+
+
+def ratios_of(savings: np.ndarray, y: np.ndarray, pairs: int) -> np.ndarray:
+    """Monotone log-likelihood ratio of every saving, from windows and the class of their documents."""
+    least, most = LEAST * pairs, GREATEST * pairs
+    at = np.clip(savings, least, most) - least
+    seen = np.stack([np.bincount(at[y == k], minlength=most - least + 1) + 0.5 for k in (0, 1)])
+    rates = seen / seen.sum(1, keepdims=True)
+    return np.array(monotone(np.log(rates[1] / rates[0]).tolist(), seen.sum(0).tolist()))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, share: float = TOXIC_SHARE) -> tuple[float, float]:
+    """Slope and intercept that fit y to x, class 1 having this share of the weight: Newton steps on the ridge-penalised
+    likelihood."""
+    weight = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum()))
+    a, b = 0.5, 0.0
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
+        g = np.array([(weight * (p - y) * x).sum() + 1e-4 * a, (weight * (p - y)).sum() + 1e-4 * b])
+        v = weight * p * (1 - p)
+        h = np.array([[(v * x * x).sum() + 1e-4, (v * x).sum()], [(v * x).sum(), v.sum() + 1e-4]])
+        step = np.linalg.solve(h, g)
+        a, b = a - float(np.clip(step[0], -0.5, 0.5)), b - float(np.clip(step[1], -1, 1))
+    return a, b
+
+
 def fit(rows: list[tuple[str, int]], seed: int = 5) -> Model:
     rng = random.Random(seed)
     toxic, ordinary = [t for t, y in rows if y == 1], [t for t, y in rows if y == 0]
@@ -144,42 +205,45 @@ def fit(rows: list[tuple[str, int]], seed: int = 5) -> Model:
         rng.shuffle(x)
     toxic, ordinary = apart(toxic), apart(ordinary)
     if len(toxic) < 8 or len(ordinary) < 8:
-        return Model(b"", b"", [0.0] * (GREATEST - LEAST + 1), (1.0, 0.0))
-    cut_t, cut_o = max(4, 6 * len(toxic) // 10), max(4, 6 * len(ordinary) // 10)
-    words = telling_words(toxic[:cut_t], ordinary[:cut_o])
-    told = b"".join([f" {w} ".encode() for w in words])
+        return Model([], [], (1.0, 0.0))
+    cut_t, cut_o = (max(4, int(TRAINING * len(x))) for x in (toxic, ordinary))
     pieces = [w for t in ordinary[:cut_o] for w in windows(t)]
     rng.shuffle(pieces)
-
-    def content(sample: list[bytes], size: int) -> bytes:
-        try:
-            return zstandard.train_dictionary(size, sample).as_bytes()
-        except zstandard.ZstdError:  # a sample too small to train on is its own dictionary
-            return b"".join(sample)[:size]
-
-    base = content(pieces[:60_000], BASE_BYTES)
-    rest = content(pieces[60_000:90_000] or pieces, max(1024, len(told)))[-len(told) :] if told else b""
-    model = Model(base + told, base + rest, [], (1.0, 0.0))
-    seen = np.ones((2, GREATEST - LEAST + 1)) * 0.5
-    for y, texts in ((1, toxic[cut_t:]), (0, ordinary[cut_o:])):
-        for t in texts:
-            for s in model.savings(t):
-                seen[y, min(max(s, LEAST), GREATEST) - LEAST] += 1
-    rates = seen / seen.sum(1, keepdims=True)
-    model.ratios = monotone(np.log(rates[1] / rates[0]).tolist(), seen.sum(0).tolist())
-    x = np.array([model.evidence(t) for t in toxic[cut_t:] + ordinary[cut_o:]])
-    y = np.array([1.0] * len(toxic[cut_t:]) + [0.0] * len(ordinary[cut_o:]))
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    a, b = 0.5, 0.0
-    for _ in range(60):  # Newton steps on the ridge-penalised likelihood
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
-        g = np.array([(weight * (p - y) * x).sum() + 1e-4 * a, (weight * (p - y)).sum() + 1e-4 * b])
-        v = weight * p * (1 - p)
-        h = np.array([[(v * x * x).sum() + 1e-4, (v * x).sum()], [(v * x).sum(), v.sum() + 1e-4]])
-        step = np.linalg.solve(h, g)
-        a, b = a - float(np.clip(step[0], -0.5, 0.5)), b - float(np.clip(step[1], -1, 1))
-    model.curve = (a, b)
-    return model
+    base = content(pieces[:60_000], BASE_BYTES, 50, 8)
+    tried = []
+    for short in SHORT:
+        of_toxic, of_ordinary = mean_savings(toxic[:cut_t], ordinary[:cut_o], short)
+        saved_t, saved_o = (np.array([s for s, _ in x]) for x in (of_toxic, of_ordinary))
+        least = threshold_for(saved_t, saved_o, ODDS)
+        picked = [w for s, w in of_toxic if s >= least]
+        suspect = [of_ordinary[k][1] for k in np.argsort(-saved_o, kind="stable")[: 2 * len(picked)]]
+        tried += [(base + content(picked, size, segment), base + content(suspect, size, segment)) for size in OWN_BYTES for segment in SEGMENTS]
+    # calibration documents: all windows in one list
+    held = [(t, 1) for t in toxic[cut_t:]] + [(t, 0) for t in ordinary[cut_o:]]
+    cut = [windows(t) for t, _ in held]
+    y = np.array([k for _, k in held])
+    owner = np.repeat(np.arange(len(held)), [len(x) for x in cut])
+    flat = [w for x in cut for w in x]
+    saved = []
+    for pair in tried:
+        with_toxic, with_ordinary = (compressor(x, WINDOW, LEVEL) for x in pair)
+        saved.append(np.array([len(with_ordinary(w)) - len(with_toxic(w)) for w in flat], dtype=np.int64))
+    chosen: list[int] = []
+    total, ratios, evidence, best = np.zeros(len(flat), dtype=np.int64), np.zeros(1), np.zeros(len(held)), -1.0
+    for n in range(1, PAIRS + 1):
+        ranked = []
+        for k in range(len(tried)):
+            if k not in chosen:
+                r = ratios_of(total + saved[k], y[owner], n)
+                at = np.clip(total + saved[k], LEAST * n, GREATEST * n) - LEAST * n
+                x = np.bincount(owner, weights=r[at], minlength=len(held))
+                ranked.append((ranking(x, y), -k, r, x))
+        value, k, r, x = max(ranked, key=lambda z: z[:2])
+        if value <= best:
+            break
+        chosen.append(-k)
+        total, ratios, evidence, best = total + saved[-k], r, x, value
+    return Model([tried[k] for k in chosen], ratios.tolist(), logistic(evidence, y))
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
