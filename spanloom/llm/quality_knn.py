@@ -4,12 +4,13 @@ A text is a vector of terms: hashed byte pairs, hashed word shapes and a few mea
 lines, capitals, punctuation, digits, word lengths) cut into steps. Counts are damped, weighted by rarity over the
 labelled sample and reduced by a truncated singular value decomposition. The labelled vectors (at most MOST of each
 class, so their size is bounded) go to every task; each document's cosine with all of them is computed exactly, in
-blocks of documents, and the NEIGHBOURS nearest vote with weights that fall off with their distance; classes count
-alike, whatever their share of the sample.
+double precision and blocks of documents, and the NEIGHBOURS nearest vote with weights that fall off with their
+distance; classes count alike, whatever their share of the sample.
 
-Null and empty texts are scored like any other (their vector is 0, so every neighbour counts alike); repeated rows get
-equal scores; ties between neighbours go to the earlier vector; an empty table gives an empty result; without labels of
-both classes every score is 0.5. Only the text is an input of a score.
+Null and empty texts are scored like any other: they have no pairs and words, and their vector is that of the measures
+of style, which are all at their ends. Repeated rows and equal texts get equal scores; of neighbours with one cosine at
+the last place any may vote, the same for equal texts; long texts are read whole, in memory linear in one text; an empty
+table gives an empty result; without labels of both classes every score is 0.5. Only the text is an input of a score.
 """
 
 from __future__ import annotations
@@ -104,7 +105,7 @@ class Space:
         self.rarity, self.axes, self.vectors, self.labels = rarity, axes, vectors, labels
 
     def place(self, texts: list[str]) -> np.ndarray:
-        x = terms(texts) * self.rarity @ self.axes
+        x = (terms(texts) * self.rarity).astype(np.float64) @ self.axes
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
     def vote(self, texts: list[str], block: int = 512) -> np.ndarray:
@@ -116,7 +117,7 @@ class Space:
             near = self.place(texts[at : at + block]) @ self.vectors.T
             k = min(NEIGHBOURS, near.shape[1])
             top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            cos = np.take_along_axis(near, top, 1).astype(float)
+            cos = np.take_along_axis(near, top, 1)
             y = self.labels[top]
             weight = np.exp(SHARPNESS * (cos - cos.max(1, keepdims=True)) / np.maximum(1 - cos.min(1, keepdims=True), 1e-6) / 2) / share[y]
             out[at : at + block] = (weight * y).sum(1) / weight.sum(1)
@@ -133,8 +134,8 @@ def fit(rows: list[tuple[str, int]], dimensions: int = DIMENSIONS) -> Space:
     rarity[PAIRS:] = 1
     x = x * rarity
     values, axes = np.linalg.eigh((x.T @ x).astype(np.float64))
-    axes = axes[:, np.argsort(-values)[:dimensions]].astype(np.float32)
-    y = x @ axes
+    axes = axes[:, np.argsort(-values)[:dimensions]]
+    y = x.astype(np.float64) @ axes
     return Space(rarity, axes, y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9), labels)
 
 
