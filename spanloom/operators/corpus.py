@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scalars
 from ..functions.offsets import SPAN, find_spans
+from . import ranking
 
 # Gram length, share at which an item is dropped, least tokens, longest run looked for.
 GRAM, DROP_ABOVE, LEAST_TOKENS, LONGEST = 8, 0.7, 3, 24
@@ -153,15 +154,21 @@ def longest_runs(items: DataFrame, examples: DataFrame, most: int = LONGEST) ->
 
 def stratified_split(items: DataFrame, stratum: str, key: str, fraction: float = 0.2, seed: int = 0) -> DataFrame:
     """Adds ``part``: the first ceil(fraction n) of each stratum, in a seeded hash order, are ``dev``."""
-    w = Window.partitionBy(stratum)
     order = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256)
-    r = items.withColumn("__r", F.row_number().over(w.orderBy(order, key))).withColumn("__n", F.count("*").over(w))
-    return r.withColumn("part", F.when(F.col("__r") <= F.ceil(F.lit(fraction) * F.col("__n")), "dev").otherwise("test")).drop("__r", "__n")
+    # digests are even, so their first digits cut a stratum into even stretches
+    cut = items.withColumn("__order", order).withColumn("stretch", F.conv(F.substring("__order", 1, 2), 16, 10).cast("int"))
+    r = ranking.ranked(cut, [stratum], [F.col("__order"), F.col(key)])
+    return r.withColumn("part", F.when(F.col("rank") <= F.ceil(F.lit(fraction) * F.col("n")), "dev").otherwise("test")).select(*items.columns, "part")
 
 
 def adjacency(rows: DataFrame, order: str, stratum: str) -> DataFrame:
-    """Rate of neighbours in one stratum, and the rate that chance would give."""
-    w = Window.orderBy(order)
-    same = rows.select((F.lag(stratum).over(w) == F.col(stratum)).cast("double").alias("s")).agg(F.avg("s").alias("rate"))
+    """Rate of neighbours in one stratum, and the rate that chance would give. Neighbours within a stretch of the order
+    are found in it, those across its end from the first and last row of every stretch."""
+    cut = ranking.cut_by(rows.select(F.col(order).alias("__at"), F.col(stratum).alias("__s")), [], "__at")
+    w = Window.partitionBy("stretch").orderBy("__at")
+    told = cut.withColumn("same", (F.lag("__s").over(w) == F.col("__s")).cast("long"))
+    ends = told.groupBy("stretch").agg(F.sum("same").alias("same"), F.count("same").alias("pairs"), F.min_by("__s", "__at").alias("first"), F.max_by("__s", "__at").alias("last"))
+    across = (F.lag("last").over(Window.orderBy("stretch")) == F.col("first")).cast("long")  # a row a stretch
+    rate = ends.withColumn("across", across).agg(((F.sum(F.coalesce("same", F.lit(0))) + F.sum(F.coalesce("across", F.lit(0)))) / (F.sum("pairs") + F.count("across"))).alias("rate"))
     n = rows.groupBy(stratum).agg(F.count("*").alias("c")).agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1)).alias("x"))
-    return same.crossJoin(n).select("rate", (F.col("x") / (F.col("n") * (F.col("n") - 1))).alias("chance"))
+    return rate.crossJoin(n).select("rate", (F.col("x") / (F.col("n") * (F.col("n") - 1))).alias("chance"))  # one row each

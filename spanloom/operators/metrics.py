@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import ranking
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b as a double; null for an empty denominator."""
@@ -68,19 +70,31 @@ def best_point(points: DataFrame, by: list[str] | None = None) -> DataFrame:
     return points.groupBy(*(by or [])).agg(best).select(*(by or []), "b.tau", "b.f1")
 
 
+#: Stretches of the probabilities, from 0 to 1.
+STRETCHES = 256
+
+
+def _stretch(p: str) -> Column:
+    return F.greatest(F.lit(0), F.least(F.floor(F.col(p) * STRETCHES), F.lit(STRETCHES - 1))).cast("int")
+
+
 def roc_auc(rows: DataFrame) -> DataFrame:
     """Mann-Whitney over counts by probability; null if a class is empty."""
-    counted = rows.groupBy("p").agg(F.count_if("gold").alias("pos"), F.count_if(~F.col("gold")).alias("neg"))
-    below = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # distinct probabilities only
-    j = counted.withColumn("less", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    counted = rows.groupBy("p").agg(F.count_if("gold").alias("pos"), F.count_if(~F.col("gold")).alias("neg")).withColumn("stretch", _stretch("p"))
+    before = ranking.offsets(counted.groupBy("stretch").agg(F.sum("neg").alias("before")), [], ["before"])  # STRETCHES rows
+    below = Window.partitionBy("stretch").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    j = counted.join(F.broadcast(before), "stretch").withColumn("less", F.col("before") + F.coalesce(F.sum("neg").over(below), F.lit(0)))
     return j.agg(ratio(F.sum(F.col("pos") * (F.col("less") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
 def average_precision(rows: DataFrame) -> DataFrame:
     """Mean precision at the positives, by descending probability, ties by item."""
-    w = Window.orderBy(F.desc("p"), "item_id")
-    r = rows.select("gold", F.row_number().over(w).alias("rank"), F.sum(F.col("gold").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("tp"))
-    return r.where("gold").agg(F.avg(F.col("tp") / F.col("rank")).alias("average_precision"))
+    r = rows.select("gold", "p", "item_id", _stretch("p").alias("stretch"))
+    before = ranking.offsets(r.groupBy("stretch").agg(F.count("*").alias("n_before"), F.count_if("gold").alias("tp_before")), [], ["n_before", "tp_before"], descending=True)  # STRETCHES rows
+    w = Window.partitionBy("stretch").orderBy(F.desc("p"), "item_id")
+    r = r.withColumn("rank", F.row_number().over(w)).withColumn("tp", F.sum(F.col("gold").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    r = r.where("gold").join(F.broadcast(before), "stretch")
+    return r.agg(F.avg((F.col("tp_before") + F.col("tp")) / (F.col("n_before") + F.col("rank"))).alias("average_precision"))
 
 
 def calibration(rows: DataFrame, bins: int = 10) -> DataFrame:
@@ -108,19 +122,22 @@ def nearest_rank(values: Column, p: int) -> Column:
     return F.element_at(F.sort_array(F.collect_list(values)), F.greatest(F.lit(1), F.ceil(F.lit(p) * F.count(values) / 100)).cast("int"))
 
 
+def _ranked(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    known = rows.where(F.col(value).isNotNull()).select(*by, value)
+    return ranking.ranked(ranking.cut_by(known, by, value), by, [F.col(value)])
+
+
 def nearest_rank_by(rows: DataFrame, by: list[str], value: str, percents: list[int]) -> DataFrame:
-    """Nearest-rank percentiles of large groups: by rank windows, without gathering a group in one row."""
-    w = Window.partitionBy(*by)
-    r = rows.where(F.col(value).isNotNull()).select(*by, value, F.row_number().over(w.orderBy(value)).alias("__r"), F.count("*").over(w).alias("__n"))
-    pick = lambda p: F.max(F.when(F.col("__r") == F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("__n") / 100)), F.col(value))).alias(f"p{p}")
+    """Nearest-rank percentiles of large groups: by ranks within stretches of each, without gathering a group."""
+    r = _ranked(rows, by, value)
+    pick = lambda p: F.max(F.when(F.col("rank") == F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("n") / 100)), F.col(value))).alias(f"p{p}")
     return r.groupBy(*by).agg(*[pick(p) for p in percents])
 
 
 def floor_index_by(rows: DataFrame, by: list[str], value: str, percents: list[int]) -> DataFrame:
     """The other rule: the value at index min(n - 1, floor(q n))."""
-    w = Window.partitionBy(*by)
-    r = rows.where(F.col(value).isNotNull()).select(*by, value, (F.row_number().over(w.orderBy(value)) - 1).alias("__i"), F.count("*").over(w).alias("__n"))
-    pick = lambda p: F.max(F.when(F.col("__i") == F.least(F.col("__n") - 1, F.floor(F.lit(p) * F.col("__n") / 100)), F.col(value))).alias(f"p{p}")
+    r = _ranked(rows, by, value)
+    pick = lambda p: F.max(F.when(F.col("rank") - 1 == F.least(F.col("n") - 1, F.floor(F.lit(p) * F.col("n") / 100)), F.col(value))).alias(f"p{p}")
     return r.groupBy(*by).agg(*[pick(p) for p in percents])
 
 
