@@ -8,12 +8,14 @@ pattern match was spoilt by a neighbour (a card right after a telephone number).
 that kind's own test, and none overlaps a base span.
 
 Null text counts as empty (no spans); repeated rows stay; an empty table gives an empty result; texts are read whole,
-whatever their length: every scan below is linear in the text. Further columns are not read.
+whatever their length: every scan below is linear in the text, and a token takes some forty bytes. Ties between label
+paths go to the label listed first. Further columns are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
+import bisect
+import itertools
 import random
 import re
 from functools import lru_cache
@@ -114,9 +116,10 @@ def shape(token: str, glued: bool) -> str:
     return ("+" if glued else "") + kind
 
 
-def neighbourhoods(text: str) -> list[list[tuple[int, int]]]:
-    """Token spans of every sequence: stretches in which no marked token is more than 2 * SIDE tokens from the next."""
-    out: list[list[tuple[int, int]]] = []
+def neighbourhoods(text: str) -> list[np.ndarray]:
+    """Token spans (tokens, 2) of every sequence: stretches in which no marked token is more than 2 * SIDE tokens from
+    the next."""
+    out: list[np.ndarray] = []
     n, at = len(text), 0
     m = _MARK.search(text)
     while m:
@@ -131,17 +134,14 @@ def neighbourhoods(text: str) -> list[list[tuple[int, int]]]:
             right += 1
         while left > at and text[left - 1].isalnum() and text[left].isalnum():
             left -= 1
-        spans = [t.span() for t in _TOKEN.finditer(text, left, right)]
-        marked = np.array([bool(_MARK.search(text, s, e)) for s, e in spans])
-        near = np.flatnonzero(np.convolve(marked, np.ones(2 * SIDE + 1), "same")[: len(marked)] > 0) if len(spans) else []
-        run: list[int] = []
-        for i in near:
-            if run and i != run[-1] + 1:
-                out.append([spans[k] for k in run])
-                run = []
-            run.append(i)
-        if run:
-            out.append([spans[k] for k in run])
+        spans = np.fromiter((x for t in _TOKEN.finditer(text, left, right) for x in t.span()), dtype=np.int64).reshape(-1, 2)
+        if len(spans):
+            marked = np.fromiter((_MARK.search(text, x, y) is not None for x, y in spans), dtype=bool, count=len(spans))
+            upto = np.concatenate(([0], np.cumsum(marked)))
+            place = np.arange(len(spans))
+            near = upto[np.minimum(place + SIDE + 1, len(spans))] > upto[np.maximum(place - SIDE, 0)]
+            edges = np.flatnonzero(np.diff(np.concatenate(([False], near, [False])).view(np.int8)))
+            out += [spans[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)]
         at, m = right, nxt if nxt is None or nxt.start() >= right else _MARK.search(text, right)
     return out
 
@@ -151,36 +151,103 @@ def features(shapes: list[str]) -> list[list[str]]:
     return [[f"0{s[i]}", f"-{s[i - 1]}", f"+{s[i + 1]}", f"--{s[i - 2]}", f"++{s[i + 2]}", f"-0{s[i - 1]}|{s[i]}", f"0+{s[i]}|{s[i + 1]}"] for i in range(2, len(s) - 2)]
 
 
-def shapes_of(text: str, spans: list[tuple[int, int]]) -> list[str]:
-    return [shape(text[s:e], i > 0 and spans[i - 1][1] == s) for i, (s, e) in enumerate(spans)]
+_SHAPES = {"<<": 0, "<": 1, ">": 2, ">>": 3}
+_SHAPE_NAMES = list(_SHAPES)
+
+
+def shape_numbers(shapes) -> np.ndarray:
+    """Shapes as numbers; a worker numbers those that it meets, which are some thousand at most."""
+
+    def number(name: str) -> int:
+        k = _SHAPES.get(name)
+        if k is None:
+            k = _SHAPES[name] = len(_SHAPE_NAMES)
+            _SHAPE_NAMES.append(name)
+        return k
+
+    return np.fromiter((number(x) for x in shapes), dtype=np.int32)
+
+
+def shapes_of(text: str, spans: np.ndarray):
+    """The shapes of a sequence, one after the other."""
+    last = -1
+    for s, e in spans:
+        yield shape(text[s:e], s == last)
+        last = e
 
 
 # ---------------------------------------------------------------- the model
 
 
+#: Sequences of more tokens than this are decoded alone.
+LONG = 5000
+
+
 class Crf:
     """Weights of a linear chain; features unknown to it count nothing."""
 
     def __init__(self, index: dict[str, int], emit: np.ndarray, move: np.ndarray):
         self.index, self.emit, self.move = index, emit, move
 
-    def scores(self, sequences: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray]:
-        """(sequences, positions, labels) padded with 0, and lengths."""
+    def emissions(self, padded: np.ndarray) -> np.ndarray:
+        """Scores (tokens, labels) of a sequence of shape numbers with two more on each side: a weight row for each of
+        the features of ``features``, looked up once for every shape and pair of shapes that occurs."""
+        n = len(padded) - 4
+        zero = self.emit[-1]  # the row of what is not known
+        out = np.zeros((n, len(LABELS)))
+
+        def rows_of(names: list[str]) -> np.ndarray:
+            return np.stack([self.emit[self.index[x]] if x in self.index else zero for x in names])
+
+        used, at = np.unique(padded, return_inverse=True)
+        said = [_SHAPE_NAMES[k] for k in used]
+        for prefix, shift in (("0", 2), ("-", 1), ("+", 3), ("--", 0), ("++", 4)):
+            out += rows_of([prefix + x for x in said])[at[shift : shift + n]]
+        pairs, pair = np.unique(at[:-1].astype(np.int64) * len(used) + at[1:], return_inverse=True)
+        both = [(said[k // len(used)], said[k % len(used)]) for k in pairs.tolist()]
+        for prefix, shift in (("-0", 1), ("0+", 2)):
+            out += rows_of([f"{prefix}{x}|{y}" for x, y in both])[pair[shift : shift + n]]
+        return out
+
+    def scores(self, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(sequences, positions, labels) padded with 0, and lengths. Sequences are arrays of shape numbers."""
         lengths = np.array([len(s) for s in sequences])
         out = np.zeros((len(sequences), int(lengths.max()), len(LABELS)))
-        for k, seq in enumerate(sequences):
-            for t, names in enumerate(seq):
-                ids = [self.index[x] for x in names if x in self.index]
-                if ids:
-                    out[k, t] = self.emit[ids].sum(0)
+        flat = self.emissions(np.concatenate([np.concatenate(([0, 1], s, [2, 3])) for s in sequences])) if len(sequences) else out
+        at = 0
+        for k, n in enumerate(lengths):
+            out[k, :n] = flat[at : at + n]
+            at += n + 4
         return out, lengths
 
-    def viterbi(self, sequences: list[list[list[str]]]) -> list[np.ndarray]:
-        """Best label numbers of every sequence; sequences of like length are decoded together."""
+    def _viterbi_long(self, sequence: np.ndarray, stretch: int = 20_000) -> np.ndarray:
+        """Best labels of one long sequence: scores are made a stretch at a time, only the way back is kept whole."""
+        padded, n = np.concatenate(([0, 1], sequence, [2, 3])), len(sequence)
+        back, best = np.zeros((n, len(LABELS)), dtype=np.int8), None
+        for at in range(0, n, stretch):
+            for t, score in enumerate(self.emissions(padded[at : min(n, at + stretch) + 4]), at):
+                if best is None:
+                    best = score + self.move[-1]
+                    continue
+                paths = best[:, None] + self.move[:-1]
+                back[t] = paths.argmax(0)
+                best = paths.max(0) + score
+        path = np.zeros(n, dtype=np.int8)
+        path[-1] = best.argmax()
+        for t in range(n - 1, 0, -1):
+            path[t - 1] = back[t, path[t]]
+        return path
+
+    def viterbi(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
+        """Best label numbers of every sequence of shape numbers; sequences of like length are decoded together."""
         out: list[np.ndarray] = [np.zeros(0, dtype=int)] * len(sequences)
         order = sorted(range(len(sequences)), key=lambda i: len(sequences[i]))
         at = 0
         while at < len(order):
+            if len(sequences[order[at]]) > LONG:
+                out[order[at]] = self._viterbi_long(sequences[order[at]])
+                at += 1
+                continue
             group = [order[at]]
             cells = len(sequences[order[at]])
             while at + len(group) < len(order) and len(group) < 512 and (len(group) + 1) * len(sequences[order[at + len(group)]]) <= max(20_000, cells):
@@ -327,7 +394,7 @@ def read_labelled(labelled: pd.DataFrame) -> list[tuple[list[str], list[str]]]:
             for s, e in tokens:
                 own = next(((k, a) for k, a, b in spans if a <= s and e <= b), None)
                 labels.append("O" if own is None else ("B-" if own[1] == s else "I-") + own[0])
-            out.append((shapes_of(text, tokens), labels))
+            out.append((list(shapes_of(text, tokens)), labels))
     return out
 
 
@@ -350,27 +417,36 @@ def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], model:
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     if not tokens:
         return out
-    paths = model.viterbi([features(shapes_of(texts[i], t)) for i, t in zip(owners, tokens, strict=True)])
+    paths = model.viterbi([shape_numbers(shapes_of(texts[i], t)) for i, t in zip(owners, tokens, strict=True)])
     for i, spans, path in zip(owners, tokens, paths, strict=True):
-        text, k = texts[i], 0
-        while k < len(path):
+        text, (starts, reach) = texts[i], _reach(base[i])
+        for k in _heads(path):
             name = LABELS[path[k]]
-            if name == "O":
-                k += 1
-                continue
             end = k + 1
             while end < len(path) and LABELS[path[end]] == "I-" + name[2:]:
                 end += 1
-            kind, s, e = name[2:], spans[k][0], spans[end - 1][1]
+            kind, s, e = name[2:], int(spans[k, 0]), int(spans[end - 1, 1])
             if kind == "phone" or kind == "card":  # a span of these ends at its last digit
                 while e > s and not text[e - 1].isdigit():
                     e -= 1
-            if valid(kind, text[s:e]) and all(e <= b or s >= c for _, b, c in base[i]):
+            if valid(kind, text[s:e]) and ((upto := bisect.bisect_left(starts, e)) == 0 or reach[upto - 1] <= s):
                 out[i].append((kind, s, e))
-            k = end
     return out
 
 
+def _reach(base: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts of base spans, ascending, and the farthest end of all up to each."""
+    return [x for _, x, _ in base], list(itertools.accumulate((y for _, _, y in base), max))
+
+
+def _heads(path: np.ndarray) -> list[int]:
+    """Where a label other than O begins a span: an inside label only ever follows its own kind."""
+    return np.flatnonzero(_BEGINS[path]).tolist()
+
+
+_BEGINS = np.array([x[0] == "B" for x in LABELS])
+
+
 _FULL = {"email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), "ip": re.compile(r"[0-9]+(?:\.[0-9]+){3}"), "card": _CARD, "phone": _PHONE, ADDED: re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9/+=_-]{16,}")}
 
 
