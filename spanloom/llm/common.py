@@ -198,6 +198,10 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame | No
 # ---------------------------------------------------------------- connected components
 
 
+#: Links in a file between rounds.
+EDGES = 50_000
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 
@@ -223,7 +227,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             .where("a <> b")
             .distinct()
         )
-        e = cut(small, "links")
+        e = cut(small.coalesce(rows // EDGES + 8), "links")  # no more files than the links are worth
         # settled when every node points to one other, and none that is pointed to points on itself
         told = e.select("a", F.lit(1).alias("s"), F.lit(0).alias("t")).unionByName(e.select(F.col("b").alias("a"), F.lit(0).alias("s"), F.lit(1).alias("t")))
         if not told.groupBy("a").agg(F.sum("s").alias("s"), F.max("t").alias("t")).where("s > 1 or (s = 1 and t = 1)").limit(1).count():
