@@ -16,8 +16,19 @@ from pyspark.sql import functions as F
 from ..sources.tables import read_table
 
 
+#: Bytes of rows that Spark sends to Python at once; its own default would be 64 MiB a task on either side.
+BATCH_BYTES, _BATCH = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of a session that has not said otherwise (a longer row is a batch of its own)."""
+    if spark.conf.get(_BATCH, "64m") in ("64m", "67108864b", "67108864"):
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one parquet table of a data folder; any path that Spark can open will do."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet") if name == "labels" else read_table(spark, sf_dir, name)
 
 
@@ -94,6 +105,7 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 
 def text_frame(docs: DataFrame, *more: str) -> DataFrame:
     """Only the columns that an operator reads, so that further columns never clash with what it adds."""
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, table, text_frame
+from .common import bounded_batches, map_batches, table, text_frame
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = "secret"
@@ -514,6 +514,7 @@ def redact(docs: DataFrame, model: Crf | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, schema=part.schema)
 
     order = [*KINDS, ADDED]
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(work, docs.schema)
 
 

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, map_batches, powers, table, text_frame
+from .common import LOWER, SPACE, bounded_batches, map_batches, powers, table, text_frame
 from .labelled import remainder, training_rows
 
 #: Labelled documents of each class, dimensions of the space, neighbours that vote, sharpness of their weights.
@@ -168,4 +168,5 @@ def keep_good(docs: DataFrame, space: Space) -> DataFrame:
             for part in chunks(batch):
                 yield part.filter(shared.value.vote(texts_of(part)) >= THRESHOLD)
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(work, docs.schema)

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, table, text_frame
+from .common import bounded_batches, map_batches, table, text_frame
 from .labelled import remainder, training_rows
 
 #: Labelled documents of each class that are read at most.
@@ -274,4 +274,5 @@ def keep_civil(docs: DataFrame, model: Model) -> DataFrame:
             for part in chunks(batch):
                 yield part.filter(np.array([shared.value.score(t) < THRESHOLD for t in texts_of(part)], dtype=bool))
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(work, docs.schema)
