@@ -6,6 +6,9 @@ Java reads both otherwise, so they are spelled out before a pattern reaches the
 
 from __future__ import annotations
 
+# White space of the engine that policies are written for, as a class that Java and RE2 read alike.
+WHITE = r"\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+
 #: An ASCII word boundary for Java.
 EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 

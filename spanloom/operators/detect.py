@@ -14,13 +14,15 @@ from pyspark.sql.window import Window
 
 from ..functions import scalars
 from ..functions.offsets import find_spans, running
+from ..functions.regexes import WHITE
 from ..sources.policy import SEVERITIES, Policy
 
 # Confidence of a pattern match, what context adds, its cap; of an entropy match; the least sure.
 REGEX_CONFIDENCE, BOOST, CAP, ENTROPY_CONFIDENCE, UNCERTAIN = 0.9, 0.05, 0.99, 0.7, 0.8
 CONTEXT_CHARS, ENTROPY_LENGTH = 40, 20
 
-KV_LINE = r"\A[ \t]*(?:-[ \t]+)?[A-Za-z0-9_][A-Za-z0-9_.-]*[ \t]*[=:][ \t]*[^ \t\r\n]"
+# A key, a sign of assignment and a value; fenced code.
+KV_LINE = rf"\A[{WHITE}]*(?:-[{WHITE}]+)?[A-Za-z0-9_][A-Za-z0-9_.-]*[{WHITE}]*[=:][{WHITE}]*[^{WHITE}]"
 FENCE = r"(?s)```.*?(?:```\n?|\z)"
 
 FINDING = ["doc_id", "start", "end", "text", "entity_type", "severity", "tier", "source", "confidence"]

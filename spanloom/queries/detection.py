@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 
 from ..functions import scalars
 from ..functions.offsets import find_spans
+from ..functions.regexes import WHITE
 from ..operators import detect, resolve
 from ..sources import policy as pol
 from ..sources.policy import ACTIONS, SEVERITIES
@@ -90,7 +91,7 @@ query("J01_findings_entity_types", f"SELECT f.source, t.severity, t.severity_ran
 # ---------------------------------------------------------------- segments of derived messages
 
 FENCE_SQL = r"(?s)```.*?(?:```\n?|\z)"
-KV_SQL = r"^[ \t]*(?:-[ \t]+)?[A-Za-z0-9_][A-Za-z0-9_.-]*[ \t]*[=:][ \t]*[^ \t\r\n]"
+KV_SQL = rf"^[{WHITE}]*(?:-[{WHITE}]+)?[A-Za-z0-9_][A-Za-z0-9_.-]*[{WHITE}]*[=:][{WHITE}]*[^{WHITE}]"
 SEGMENTS_SQL = f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY min(s)) - 1 AS seg_no, min(s)::BIGINT AS s_start, max(e)::BIGINT AS s_end, kind, any_value(message) AS message
   FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM (
     SELECT *, CASE WHEN lag(kind) OVER (PARTITION BY doc_id ORDER BY s) = kind AND kind <> 'code' THEN 0 ELSE 1 END AS fresh FROM (

@@ -146,7 +146,7 @@ def floors(spark, d):
 
 @query("W09_first_hit", f"SELECT doc_id, min(s_start)::BIGINT AS s_start, first(s_text ORDER BY s_start) AS s_text FROM {sql_spans('documents', TITLE)} AS f GROUP BY doc_id")
 def first_hit(spark, d):
-    s = read(spark, d, "documents").select("doc_id", find_spans(F.col("text"), TITLE)[0].alias("s")) if False else read(spark, d, "documents").select("doc_id", F.try_element_at(find_spans(F.col("text"), TITLE), F.lit(1)).alias("s"))
+    s = read(spark, d, "documents").select("doc_id", F.try_element_at(find_spans(F.col("text"), TITLE), F.lit(1)).alias("s"))
     return s.where("s is not null").select("doc_id", F.col("s.start").cast("long").alias("s_start"), F.col("s.text").alias("s_text"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,7 +16,8 @@ def folder(spark: SparkSession, name: str) -> str:
     if not named:
         named = spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
         if spark.sparkContext.master.startswith("local["):
-            named = "file://" + tempfile.mkdtemp(prefix="spanloom-")
+            named = "file://" + (made := tempfile.mkdtemp(prefix="spanloom-"))
+            atexit.register(shutil.rmtree, made, ignore_errors=True)
     return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

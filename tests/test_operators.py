@@ -35,6 +35,12 @@ def test_segments_tile_long_texts(spark):
     assert "".join(s.text for s in segs) == text and [s.start for s in segs[1:]] == [s.end for s in segs[:-1]]
 
 
+def test_key_value_lines(spark):
+    lines = {"key = value": True, "- a.b-c : x": True, "\u00a0key\u2003=\ufeff1": True, "\x0bkey\x0c=x": True, "key = \u3000": False, "- just a list item": False, "two words = x": False, "k=": False, "": False}
+    df = spark.createDataFrame([(k,) for k in lines], "line string")
+    assert {r[0]: r[1] for r in df.select("line", detect.kv_line(F.col("line"))).collect()} == lines
+
+
 def plain_contamination(items, examples, n=8):
     tokens = lambda t: [w for x in re.split(r"[^a-z0-9@._+/:-]+", t.lower()) if (w := re.sub(r"^[._:/-]+|[._:/-]+$", "", x))]
     grams = lambda t, k: {tuple(t[i : i + k]) for i in range(len(t) - k + 1)}
