@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +42,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, kee
     wanted = docs.sparkSession.createDataFrame(chosen, "doc_id long, __h long, __y int")  # 2 x most rows
     rows = text_frame(docs).withColumn("__h", F.xxhash64("text")).join(F.broadcast(wanted), ["doc_id", "__h"]).groupBy("doc_id", "__h", "__y").agg(F.first("text").alias("text"))
     return sorted((r["text"], r["__y"]) for r in rows.select("text", "__y").collect())  # 2 x most_bytes
+
+
+def give_back() -> None:
+    """Returns memory that a fit has used on the driver to the system, where the C library can."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE, bounded_batches, map_batches, powers, table, text_frame
-from .labelled import remainder, training_rows
+from .labelled import give_back, remainder, training_rows
 
 #: Labelled documents of each class, dimensions of the space, neighbours that vote, sharpness of their weights.
 MOST, DIMENSIONS, NEIGHBOURS, SHARPNESS = 2000, 48, 15, 8.0
@@ -148,7 +148,9 @@ def score_documents(docs: DataFrame, space: Space) -> DataFrame:
 
 def fitted(spark: SparkSession, sf_dir: str, most: int = MOST) -> Space:
     """The space fitted on the training fold of a data folder."""
-    return fit(training_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", most, remainder(FOLD) != 0))
+    model = fit(training_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", most, remainder(FOLD) != 0))
+    give_back()
+    return model
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

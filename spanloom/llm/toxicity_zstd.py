@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, map_batches, table, text_frame
-from .labelled import remainder, training_rows
+from .labelled import give_back, remainder, training_rows
 
 #: Labelled documents of each class that are read at most.
 MOST = 2500
@@ -140,22 +140,22 @@ class Model:
         return 1 / (1 + math.exp(-min(max(a * self.evidence(text) + b, -40), 40)))
 
 
-def mean_savings(toxic: list[str], ordinary: list[str], size: int) -> tuple[list[tuple[float, bytes]], list[tuple[float, bytes]]]:
-    """(saving, window) of both classes' short windows: means over the dictionaries of all groups but the window's own."""
+def mean_savings(toxic: list[str], ordinary: list[str], size: int) -> list[tuple[np.ndarray, list[bytes]]]:
+    """(savings, windows) of either class's short windows: means over the dictionaries of all groups but the window's own."""
     groups = max(2, min(GROUPS, len(toxic) // 4, len(ordinary) // 4))
     dealt = [[[w for t in texts[k::groups] for w in windows(t, size)] for k in range(groups)] for texts in (toxic, ordinary)]
     pairs = [[compressor(content(of_class[k], GROUP_BYTES, 32), size, LEVEL) for of_class in dealt] for k in range(groups)]
     out = []
     for of_class in dealt:
-        mean: list[tuple[float, bytes]] = []
+        mean: list[np.ndarray] = []
         for k, sample in enumerate(of_class):
             total = np.zeros(len(sample))
             for j, (with_toxic, with_ordinary) in enumerate(pairs):
                 if j != k:
                     total += [len(with_ordinary(w)) - len(with_toxic(w)) for w in sample]
-            mean += zip((total / (groups - 1)).tolist(), sample, strict=True)
-        out.append(mean)
-    return out[0], out[1]
+            mean.append(total / (groups - 1))
+        out.append((np.concatenate(mean), [w for sample in of_class for w in sample]))
+    return out
 
 
 def threshold_for(toxic: np.ndarray, ordinary: np.ndarray, odds: float) -> float:
@@ -212,11 +212,11 @@ def fit(rows: list[tuple[str, int]], seed: int = 5) -> Model:
     base = content(pieces[:60_000], BASE_BYTES, 50, 8)
     tried = []
     for short in SHORT:
-        of_toxic, of_ordinary = mean_savings(toxic[:cut_t], ordinary[:cut_o], short)
-        saved_t, saved_o = (np.array([s for s, _ in x]) for x in (of_toxic, of_ordinary))
+        (saved_t, of_toxic), (saved_o, of_ordinary) = mean_savings(toxic[:cut_t], ordinary[:cut_o], short)
         least = threshold_for(saved_t, saved_o, ODDS)
-        picked = [w for s, w in of_toxic if s >= least]
-        suspect = [of_ordinary[k][1] for k in np.argsort(-saved_o, kind="stable")[: 2 * len(picked)]]
+        picked = [of_toxic[k] for k in np.flatnonzero(saved_t >= least)]
+        suspect = [of_ordinary[k] for k in np.argsort(-saved_o, kind="stable")[: 2 * len(picked)]]
+        del of_toxic, of_ordinary
         tried += [(base + content(picked, size, segment), base + content(suspect, size, segment)) for size in OWN_BYTES for segment in SEGMENTS]
     # calibration documents: all windows in one list
     held = [(t, 1) for t in toxic[cut_t:]] + [(t, 0) for t in ordinary[cut_o:]]
@@ -254,7 +254,9 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def fitted(spark: SparkSession, sf_dir: str, most: int = MOST) -> Model:
-    return fit(training_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", most, remainder(FOLD) != HELD))
+    model = fit(training_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", most, remainder(FOLD) != HELD))
+    give_back()
+    return model
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
