@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_batches, table, text_frame
+from .common import bounded_batches, map_batches, mix, table, text_frame, word_hashes
 from .labelled import give_back, remainder, training_rows
 
 #: Labelled documents of each class that are read at most.
@@ -64,16 +64,33 @@ def windows(text: str, size: int = WINDOW) -> list[bytes]:
 _SPACES = bytes(0x20 if b in (9, 10, 11, 12, 13) else b for b in range(256))
 
 
+def triples(text: str) -> np.ndarray:
+    """Hashes of the distinct word triples, ascending; of the whole text if it has fewer words."""
+    words = text.lower().split()
+    h, _ = word_hashes([" ".join(words).encode("utf-8", "surrogatepass")])
+    n = len(h) - 2 if len(h) > 2 else 1
+    out = np.full(n, min(3, len(h)), dtype=np.uint64)
+    for k in range(min(3, len(h))):
+        out = mix(out ^ h[k : k + n])
+    return np.unique(out)
+
+
 def apart(texts: list[str], most: float = 0.3) -> list[str]:
-    """Texts that share at most this part of their word triples with those before."""
-    seen: set = set()
+    """Texts that share at most this part of their word triples with those before. The triples seen are kept as hashes
+    in sorted runs, each more than twice as long as the next: tuples of words take some twenty times the text."""
+    runs: list[np.ndarray] = []
     out = []
     for t in texts:
-        w = t.lower().split()
-        own = set(zip(w, w[1:], w[2:], strict=False)) or {tuple(w)}
-        if len(own & seen) <= most * len(own):
+        own = triples(t)
+        known = np.zeros(len(own), dtype=bool)
+        for r in runs:
+            known |= r[np.minimum(np.searchsorted(r, own), len(r) - 1)] == own
+        if known.sum() <= most * len(own):
             out.append(t)
-        seen |= own
+        if not known.all():
+            runs.append(own[~known])
+        while len(runs) > 1 and len(runs[-2]) <= 2 * len(runs[-1]):
+            runs[-2:] = [np.sort(np.concatenate(runs[-2:]))]
     return out
 
 
