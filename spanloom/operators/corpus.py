@@ -119,19 +119,22 @@ def contamination(items: DataFrame, examples: DataFrame, n: int = GRAM) -> DataF
     """(item_id, example_id, shared, share): distinct grams shared, and their share of the smaller set. An example of
     fewer than n tokens is matched at its own length, one of fewer than LEAST_TOKENS not at all.
 
-    Items' grams are made distinct within their row and meet those of the examples at once; only matches are shuffled.
-    Lengths other than n are looked at only where an example has them."""
-    all_of = lambda t, k: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(t) - k + 1), lambda i: gram_at(t, i, k)))
+    Items' grams meet those of the examples at once, repeats included, as an array of structs is made distinct in the
+    square of its length; matches are made distinct and shuffled. Lengths other than n are looked at only where an
+    example has them."""
+    all_of = lambda t, k: F.transform(F.sequence(F.lit(1), F.size(t) - k + 1), lambda i: gram_at(t, i, k))
     e = examples.select("example_id", scalars.tokens(F.col("text")).alias("t")).withColumn("n", gram_length(F.col("t"), n)).where("n is not null").select("example_id", "n", all_of(F.col("t"), F.col("n")).alias("grams"))
-    b = e.select("example_id", "n", F.size("grams").alias("nb"), F.explode("grams").alias("gram"))
+    b = e.select("example_id", "n", F.size(F.array_distinct("grams.h")).alias("nb"), F.explode("grams").alias("x")).select("example_id", "n", "nb", "x.*").distinct()
     lengths = sorted(r[0] for r in b.select("n").distinct().collect())  # n at most
     t = F.col("t")
     cut = [F.when(F.size(t) >= k, F.struct(F.lit(k).alias("n"), all_of(t, k).alias("grams"))) for k in lengths]
     none = F.array().cast("array<struct<n:int,grams:array<struct<h:bigint,g:int>>>>")
     words = items.select("item_id", scalars.tokens(F.col("text")).alias("t"))
     a = words.select("item_id", F.explode(F.filter(F.concat(none, F.array(*cut)) if cut else none, lambda x: x.isNotNull())).alias("x"))
-    a = a.select("item_id", "x.n", F.size("x.grams").alias("na"), F.explode("x.grams").alias("gram"))
-    met = a.join(_few(b), ["n", "gram"]).groupBy("item_id", "example_id").agg(F.count("*").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    a = a.select("item_id", "x.n", F.size(F.array_distinct("x.grams.h")).alias("na"), F.explode("x.grams").alias("y")).select("item_id", "n", "na", "y.*")
+    gram = ["n", "h", "g"]
+    own = a.join(_few(b.select(*gram).distinct()), gram, "left_semi").distinct()
+    met = own.join(_few(b), gram).groupBy("item_id", "example_id").agg(F.count("*").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     return met.select("item_id", "example_id", "shared", (F.col("shared") / F.least("na", "nb")).alias("share"))
 
 
