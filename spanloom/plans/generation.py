@@ -23,6 +23,7 @@ def generate(carriers: DataFrame, forms: list[str], seed: str = "0", examples: D
     if sweep:
         hits = sweep(carriers.select(F.col("item_id").alias("doc_id"), "text")).select(F.col("doc_id").alias("item_id"), F.lit("main").alias("stage"))
         clear = carriers.join(K.certify(hits, carriers.select("item_id")).where("status = 'certified-clear'"), "item_id").select("item_id", "text")
+        clear = written(clear, "clear")  # read twice below, and swept once
     pool = I.minted(spark, forms, 64, seed)
     deal = F.pmod(F.xxhash64(F.lit(seed), "item_id"), F.lit(len(forms) * 64))
     dealt = clear.withColumn("deal", deal).join(F.broadcast(pool.withColumn("deal", F.lit(64) * F.array_position(F.array(*[F.lit(f) for f in forms]), F.col("form")) - 64 + F.col("k")).select("deal", "form", "value")), "deal")  # forms x 64 rows
@@ -33,7 +34,7 @@ def generate(carriers: DataFrame, forms: list[str], seed: str = "0", examples: D
         raise GenerationError("an injected value is not where it should be, or occurs elsewhere as well")
     if examples is not None:
         bad = K.contamination(items.select("item_id", "text"), examples).where(F.col("share") > K.DROP_ABOVE).select("item_id").distinct()
-        items = items.join(bad, "item_id", "left_anti")
+        items = items.join(written(bad, "bad"), "item_id", "left_anti")  # the split reads it twice
     return K.stratified_split(items.withColumn("form", F.col("spans")[0]["type"]), "form", "item_id")
 
 
